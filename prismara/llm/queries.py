@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismara.llm.cooccur import PairTable
+from prismara.llm.leakage import leaks
 from prismara.llm.tags import current_images, normal_tags
 from prismara.llm.termfreq import marked, term_frequencies
+from prismara.llm.tokens import decode_corpus, encode_corpus
 from prismara.session import table
 
 
@@ -55,7 +57,27 @@ def p6_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frequencies(spark, sf_dir)[0].select(F.col("term").alias("tag"), "occurrences", F.col("records").alias("images"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p6_found": p6_found, "p6_frequencies": p6_frequencies}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document."""
+    return encode_corpus(table(spark, sf_dir, "documents"))
+
+
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text again, from its ids."""
+    return decode_corpus(encode_corpus(table(spark, sf_dir, "documents")))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the items of which they hold 12 consecutive words, or all of a shorter item."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).where("kind = 'exact'").select("doc_id", "item_id")
+
+
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact and re-parameterised leaks with the number of windows found."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found, "p8_leaks": p8_leaks, "p1_found": p1_found, "p1_scores": p1_scores, "p6_found": p6_found, "p6_frequencies": p6_frequencies}
 
 _LATEST = r"""
 latest AS (SELECT image_id, arg_max({'g': general_tags, 'c': character_tags}, coalesce(written_at, TIMESTAMP '0001-01-01')) AS r
@@ -77,6 +99,16 @@ f AS (SELECT tag, count(*) AS occurrences, count(DISTINCT image_id) AS images FR
 """
 
 ORACLES = {
+    "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p8_found": r"""WITH
+dw AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM eval_items WHERE text IS NOT NULL),
+dk AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM dw WHERE len(w) >= 12)),
+ik AS (SELECT item_id, array_to_string(w[i:i + 11], ' ') AS k FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM iw WHERE len(w) >= 12)),
+short AS (SELECT item_id, ' ' || array_to_string(w, ' ') || ' ' AS k FROM iw WHERE len(w) BETWEEN 1 AND 11),
+dt AS (SELECT doc_id, ' ' || array_to_string(w, ' ') || ' ' AS t FROM dw)
+SELECT DISTINCT doc_id, item_id FROM dk JOIN ik USING (k)
+UNION SELECT doc_id, item_id FROM dt JOIN short ON contains(t, k)""",
     "p1_found": _COUNTS + "SELECT tag_a, tag_b FROM s WHERE n >= 4 AND n * total >= 3 * n_a * n_b",
     "p1_scores": _COUNTS + "SELECT tag_a, tag_b, n, n_a, n_b, round(n * total / (n_a * n_b), 6) AS lift FROM s",
     "p6_found": _TERMS + "SELECT tag, 'rare' AS mark FROM f WHERE images < 5 UNION ALL SELECT tag, 'common' FROM f WHERE images > 0.3 * (SELECT count(*) FROM latest)",
