@@ -37,7 +37,8 @@ FREQUENT, FREQUENT_CHARS = 1000, 64
 # The pre-token pattern of the public tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Blocks whose letters and digits are the same in every Unicode version that a library may hold.
-_SETTLED = regex.compile(r"[\x00-ԯ -⁯₠-₽℀-⅏←-⏏─-➿　-ゖ゙-ヿ一-鿌가-힣️！-～�\U0001f300-\U0001f64f]*")
+_BLOCKS = ((0x0, 0x52F), (0x2000, 0x206F), (0x20A0, 0x20BD), (0x2100, 0x214F), (0x2190, 0x23CF), (0x2500, 0x27BF), (0x3000, 0x3096), (0x3099, 0x30FF), (0x4E00, 0x9FCC), (0xAC00, 0xD7A3), (0xFE0F, 0xFE0F), (0xFF01, 0xFF5E), (0xFFFD, 0xFFFD), (0x1F300, 0x1F64F))
+_SETTLED = regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _BLOCKS) + "]*")
 _PIECES = regex.compile(PATTERN)
 
 
