@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismara.llm.clusters import clusters, groups
 from prismara.llm.cooccur import PairTable
 from prismara.llm.leakage import leaks
+from prismara.llm.neighbours import alike_pairs, nearest
 from prismara.llm.tags import current_images, normal_tags
 from prismara.llm.termfreq import marked, term_frequencies
 from prismara.llm.tokens import decode_corpus, encode_corpus
+from prismara.llm.vectors import usable_vectors
 from prismara.session import table
 
 
@@ -57,6 +60,27 @@ def p6_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frequencies(spark, sf_dir)[0].select(F.col("term").alias("tag"), "occurrences", F.col("records").alias("images"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of every group of three or more vectors of a kind that are all alike and apart from others."""
+    return groups(usable_vectors(table(spark, sf_dir, "feat_cache")))
+
+
+def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cluster of vectors with its size and most typical members."""
+    return clusters(usable_vectors(table(spark, sf_dir, "feat_cache")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alike pairs of which one is among the five most similar vectors of the other."""
+    return alike_pairs(usable_vectors(table(spark, sf_dir, "feat_cache")))
+
+
+def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar vectors of every vector whose id is divisible by 100."""
+    near = nearest(usable_vectors(table(spark, sf_dir, "feat_cache")), 10, only="feat_id % 100 = 0")
+    return near.select(F.col("q").alias("feat_id"), "rank", F.col("b").alias("neighbour"), F.round("s", 6).alias("similarity"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document."""
     return encode_corpus(table(spark, sf_dir, "documents"))
@@ -77,7 +101,7 @@ def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found, "p8_leaks": p8_leaks, "p1_found": p1_found, "p1_scores": p1_scores, "p6_found": p6_found, "p6_frequencies": p6_frequencies}
+QUERIES = {"p4_found": p4_found, "p4_nearest": p4_nearest, "p3_found": p3_found, "p3_clusters": p3_clusters, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found, "p8_leaks": p8_leaks, "p1_found": p1_found, "p1_scores": p1_scores, "p6_found": p6_found, "p6_frequencies": p6_frequencies}
 
 _LATEST = r"""
 latest AS (SELECT image_id, arg_max({'g': general_tags, 'c': character_tags}, coalesce(written_at, TIMESTAMP '0001-01-01')) AS r
