@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from prismara.llm.clusters import clusters, groups
 from prismara.llm.cooccur import PairTable
+from prismara.llm.garbled import garbled_documents, learned_mapping, restored_documents
 from prismara.llm.leakage import leaks
 from prismara.llm.neighbours import alike_pairs, nearest
 from prismara.llm.tags import current_images, normal_tags
@@ -101,7 +102,22 @@ def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_nearest": p4_nearest, "p3_found": p3_found, "p3_clusters": p3_clusters, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found, "p8_leaks": p8_leaks, "p1_found": p1_found, "p1_scores": p1_scores, "p6_found": p6_found, "p6_frequencies": p6_frequencies}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of which some stretch was decoded with another encoding than its own."""
+    return garbled_documents(table(spark, sf_dir, "documents"))
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled documents with their text as far as it can be restored."""
+    return restored_documents(table(spark, sf_dir, "documents"))
+
+
+def p9_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The byte-to-letter mappings learned for each source."""
+    return learned_mapping(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p9_found": p9_found, "p9_restored": p9_restored, "p9_mapping": p9_mapping, "p4_found": p4_found, "p4_nearest": p4_nearest, "p3_found": p3_found, "p3_clusters": p3_clusters, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found, "p8_leaks": p8_leaks, "p1_found": p1_found, "p1_scores": p1_scores, "p6_found": p6_found, "p6_frequencies": p6_frequencies}
 
 _LATEST = r"""
 latest AS (SELECT image_id, arg_max({'g': general_tags, 'c': character_tags}, coalesce(written_at, TIMESTAMP '0001-01-01')) AS r
