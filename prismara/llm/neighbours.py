@@ -33,7 +33,7 @@ from prismara.llm.mixture import spread_seeds
 from prismara.llm.vectors import cosine, unit, unpack
 from prismara.session import materialize
 
-SAMPLE, BRANCH, LEAF, MOST_LEAVES = 5000, 16, 800, 4096
+SAMPLE, BRANCH, LEAF, MOST_LEAVES = 5000, 16, 1500, 4096
 CAP = 2000
 TARGET, QUERIES = 0.999, 300
 
@@ -59,31 +59,27 @@ class Tree:
     def scores(self, u: np.ndarray, node: int) -> np.ndarray:
         return u @ self.matrix[self.children[node]].T
 
-    def leaf_of(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The leaf that a greedy descent reaches, and its similarity, for many rows at once."""
-        at, best = np.zeros(len(u), int), np.ones(len(u), np.float32)
+    def leaf_of(self, u: np.ndarray) -> np.ndarray:
+        """The leaf that a greedy descent reaches, for many rows at once."""
+        at = np.zeros(len(u), int)
         open_ = np.arange(len(u)) if len(self.children[0]) else np.empty(0, int)
         while len(open_):
             nxt = []
             for node in np.unique(at[open_]):
                 rows = open_[at[open_] == node]
-                s = self.scores(u[rows], node)
-                k = s.argmax(1)
-                best[rows] = s[np.arange(len(rows)), k]
-                at[rows] = self.children[node][k]
+                at[rows] = self.children[node][self.scores(u[rows], node).argmax(1)]
                 nxt.append(rows[[len(self.children[c]) > 0 for c in at[rows]]])
             open_ = np.concatenate(nxt)
-        return at, best
+        return at
 
-    def visit(self, u: np.ndarray, first: np.ndarray, best: np.ndarray) -> list[list[int]]:
-        """Leaves of each query, best bin first, until the queue holds nothing within the margin."""
+    def visit(self, u: np.ndarray, first: np.ndarray) -> list[list[int]]:
+        """Leaves of each query, best bin first; a node's children wait in the queue if they are within the margin of its best child."""
         top = self.scores(u, 0) if len(self.children[0]) else None
         out = []
         for q in range(len(u)):
             leaves = [int(first[q])]
             if top is not None:
-                limit = float(best[q]) - self.margin
-                queue = [(-float(s), int(c)) for s, c in zip(top[q], self.children[0]) if s >= limit]
+                queue = [(-float(s), int(c)) for s, c in zip(top[q], self.children[0]) if s >= top[q].max() - self.margin]
                 heapq.heapify(queue)
                 while queue:
                     _, node = heapq.heappop(queue)
@@ -92,19 +88,21 @@ class Tree:
                         if node != leaves[0]:
                             leaves.append(node)
                         continue
-                    for s, c in zip(self.matrix[below] @ u[q], below):
-                        if s >= limit:
+                    scores = self.matrix[below] @ u[q]
+                    for s, c in zip(scores, below):
+                        if s >= scores.max() - self.margin:
                             heapq.heappush(queue, (-float(s), int(c)))
             out.append(leaves)
         return out
 
-    def gap(self, u: np.ndarray, best: float, leaf: int) -> float:
-        """The margin at which a query whose best leaf scores ``best`` reaches ``leaf``."""
-        worst, node = best, leaf
+    def gap(self, u: np.ndarray, leaf: int) -> float:
+        """The margin at which a query reaches ``leaf``: at each level, the best child's lead over the one on the path."""
+        lead, node = 0.0, leaf
         while node > 0:
-            worst = min(worst, float(self.matrix[node] @ u))
+            scores = self.matrix[self.children[self.parent[node]]] @ u
+            lead = max(lead, float(scores.max() - self.matrix[node] @ u))
             node = self.parent[node]
-        return best - worst
+        return lead
 
 
 def kmeans(u: np.ndarray, k: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -124,15 +122,18 @@ def kmeans(u: np.ndarray, k: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarr
     return centres[used], np.searchsorted(used, label)
 
 
-def build_tree(u: np.ndarray, leaves: int) -> Tree:
-    """A tree of about ``leaves`` leaves, sized by the share of the sample below each node."""
+def build_tree(u: np.ndarray, leaves: int, divisible=None) -> Tree:
+    """A tree of about ``leaves`` leaves, sized by the share of the sample below each node.
+
+    ``divisible`` may say of a node's rows that they are to stay in one leaf.
+    """
     tree = Tree()
     mean = u.mean(0)
     root = tree.add(mean / max(float(np.linalg.norm(mean)), 1e-9), -1)
     todo = [(root, np.arange(len(u)), leaves)]
     while todo:
         node, rows, want = todo.pop()
-        if want < 2 or len(rows) < 4:
+        if want < 2 or len(rows) < 4 or (divisible is not None and not divisible(u[rows])):
             continue
         centres, label = kmeans(u[rows], min(BRANCH, want, len(rows) // 2))
         if len(centres) < 2:
@@ -148,7 +149,7 @@ def build_tree(u: np.ndarray, leaves: int) -> Tree:
     return tree
 
 
-def fit_trees(vectors: DataFrame, counts: dict[str, int]) -> dict[str, Tree]:
+def fit_trees(vectors: DataFrame, counts: dict[str, int], divisible=None) -> dict[str, Tree]:
     """One tree a kind, fitted on a sample chosen by hash."""
     sizes = vectors.sparkSession.createDataFrame(list(counts.items()), "kind string, rows long")
     sampled = vectors.join(F.broadcast(sizes), "kind").where(F.pmod(F.xxhash64("feat_id", F.lit(5)), F.col("rows")) < SAMPLE)
@@ -156,7 +157,7 @@ def fit_trees(vectors: DataFrame, counts: dict[str, int]) -> dict[str, Tree]:
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         u = unit(unpack(pdf.sort_values("feat_id")["vec"]))
         want = int(np.clip(math.ceil(pdf["rows"].iloc[0] / LEAF), 1, min(MOST_LEAVES, max(1, len(u) // 4))))
-        return pd.DataFrame({"kind": [pdf["kind"].iloc[0]], "tree": [pickle.dumps(build_tree(u, want))]})
+        return pd.DataFrame({"kind": [pdf["kind"].iloc[0]], "tree": [pickle.dumps(build_tree(u, want, divisible))]})
 
     return {r["kind"]: pickle.loads(r["tree"]) for r in sampled.groupBy("kind").applyInPandas(fit, "kind string, tree binary").collect()}
 
@@ -178,7 +179,7 @@ def _top(s: np.ndarray, rows: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np
             yield int(rows[start + r]), cols[j[a:b]][order], exact[a:b][order]
 
 
-def _calibrate(vectors: DataFrame, trees: dict[str, Tree], counts: dict[str, int], k: int, least: float) -> dict[str, float]:
+def calibrate(vectors: DataFrame, trees: dict[str, Tree], counts: dict[str, int], k: int, least: float) -> dict[str, float]:
     """Sets each tree's margin from brute-force neighbours of a bounded set of queries; returns the recall reached."""
     spark = vectors.sparkSession
     sizes = spark.createDataFrame(list(counts.items()), "kind string, rows long")
@@ -198,7 +199,7 @@ def _calibrate(vectors: DataFrame, trees: dict[str, Tree], counts: dict[str, int
                     continue
                 y, own = unpack(part["vec"]), part["feat_id"].to_numpy()
                 v = unit(y)
-                leaf, _ = trees[kind].leaf_of(v)
+                leaf = trees[kind].leaf_of(v)
                 at = dict(zip(own.tolist(), leaf.tolist()))
                 s = unit(x) @ v.T
                 s[ids[:, None] == own[None, :]] = -np.inf
@@ -212,8 +213,7 @@ def _calibrate(vectors: DataFrame, trees: dict[str, Tree], counts: dict[str, int
         ids, x = asked[kind]
         u = unit(x) if len(ids) else x
         row = {int(q): i for i, q in enumerate(ids)}
-        _, own = tree.leaf_of(u) if len(ids) else (None, np.empty(0))
-        gaps = np.array([tree.gap(u[row[r["q"]]], float(own[row[r["q"]]]), t["leaf"]) for r in best if r["kind"] == kind for t in r["t"]])
+        gaps = np.array([tree.gap(u[row[r["q"]]], t["leaf"]) for r in best if r["kind"] == kind for t in r["t"]])
         tree.margin = float(np.quantile(gaps, TARGET, method="higher")) + 1e-6 if len(gaps) else 0.0
         reached[kind] = float((gaps <= tree.margin).mean()) if len(gaps) else 1.0
     return reached
@@ -236,7 +236,7 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, only: str = "tr
     if not counts:
         return spark.createDataFrame([], "kind string, q long, rank int, b long, s double")
     trees = fit_trees(rows, counts)
-    _calibrate(rows, trees, counts, k, least)
+    calibrate(rows, trees, counts, k, least)
     shared = spark.sparkContext.broadcast(trees)
 
     def place(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -244,11 +244,11 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, only: str = "tr
             for kind, part in batch.groupby("kind", sort=False):
                 tree = shared.value[kind]
                 u = unit(unpack(part["vec"]))
-                leaf, best = tree.leaf_of(u)
+                leaf = tree.leaf_of(u)
                 asks = part["asks"].to_numpy()
                 visits: list[list[int]] = [[] for _ in range(len(u))]
                 where = np.flatnonzero(asks)
-                for i, v in zip(where, tree.visit(u[where], leaf[where], best[where])):
+                for i, v in zip(where, tree.visit(u[where], leaf[where])):
                     visits[i] = v
                 yield pd.DataFrame({"kind": kind, "feat_id": part["feat_id"].to_numpy(), "vec": part["vec"].to_numpy(), "leaf": leaf.astype(np.int32), "visits": visits})
 
