@@ -265,6 +265,8 @@ def _options(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = {s: restorations(s) for s in batch["stretch"].unique()}
         has = batch[[bool(found[s]) for s in batch["stretch"]]]
+        if not len(has):
+            continue
         yield has.assign(restored=[list(found[s]) for s in has["stretch"]], keys=[list(found[s].values()) for s in has["stretch"]], gain=[[0.0] * len(found[s]) for s in has["stretch"]])
 
 
@@ -281,7 +283,8 @@ def _scored(model, least: float):
                 good = [(r, list(k), float(score[r] - score[stretch])) for r, k in zip(restored, keys) if score[r] - score[stretch] > least]
                 if good:
                     rows.append((source, stretch, n, spread, [r for r, _, _ in good], [k for _, k, _ in good], [g for _, _, g in good]))
-            yield pd.DataFrame(rows, columns=["source", "stretch", "n", "spread", "restored", "keys", "gain"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["source", "stretch", "n", "spread", "restored", "keys", "gain"])
 
     return run
 
