@@ -7,6 +7,7 @@ import posixpath
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: A Python float literal: digits may hold single underscores.
 _NUMBER = r"^\s*[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?\s*$"
@@ -91,7 +92,7 @@ def stem(path: Column) -> Column:
     return F.substr(name, F.lit(1), F.length(name) - F.length(extension(path)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_path(path: pd.Series) -> pd.Series:
     """Without doubled slashes, ``.`` and ``..``."""
     return path.map(lambda p: posixpath.normpath(p) if isinstance(p, str) else None)

@@ -20,13 +20,18 @@ def as_double(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(_sum(F.transform(as_double(v), lambda x: x * x)))
 
 
 def l2_normalize(v: Column, weight: float = 1.0) -> Column:
     """``v`` over max(its length, 1e-12), times ``weight``."""
-    return F.transform(as_double(v), lambda x: x * weight / F.greatest(norm(v), F.lit(EPS)))
+    return let(as_double(v), lambda a: let(F.greatest(norm(a), F.lit(EPS)), lambda n: F.transform(a, lambda x: x * weight / n)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -42,8 +47,8 @@ def euclidean(a: Column, b: Column) -> Column:
 
 
 def softmax(v: Column) -> Column:
-    e = F.transform(as_double(v), lambda x: F.exp(x - F.array_max(as_double(v))))
-    return F.transform(e, lambda x: x / _sum(e))
+    raised = let(as_double(v), lambda a: let(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x - top))))
+    return let(raised, lambda e: let(_sum(e), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def argmax(v: Column) -> Column:

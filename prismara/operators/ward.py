@@ -84,5 +84,5 @@ def ward_clusters(rows: DataFrame, key: str, vec: str, sensitivity: float = 50.0
         first = pd.Series(pdf["k"].to_numpy()).groupby(label).transform("min")
         return pd.DataFrame({key: pdf["k"].to_numpy(), "cluster_id": first.rank(method="dense").astype(int).to_numpy() - 1})
 
-    keyed = rows.where(F.col(vec).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vec).cast("array<double>").alias("v"))
-    return keyed.groupBy(F.lit(1)).applyInPandas(cluster, f"`{key}` long, cluster_id int")
+    keyed = rows.where(F.col(vec).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vec).cast("array<double>").alias("v"), F.lit(1).alias("g"))
+    return keyed.groupBy("g").applyInPandas(cluster, f"`{key}` long, cluster_id int")
