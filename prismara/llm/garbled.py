@@ -48,6 +48,8 @@ PRIOR, SHRINK = 0.02, 300.0
 ROUNDS, STEPS = 3, 2
 KEEP_GAIN = (-6.0, -3.0, -2.0)
 REPEATS = 4
+#: A restoration must consist of bigrams that occur in the texts at least to this share; else it is only less unlikely.
+ATTESTED = 0.5
 LOST = "�"
 _STRETCH = regex.compile(r"[^ \t\r\n]{1,400}")
 _NON_ASCII = regex.compile(r"[^\x00-\x7f]")
@@ -172,11 +174,17 @@ def _bigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([c for c, _ in both]), np.concatenate([k for _, k in both]), starts
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Table places of 64-bit numbers, well mixed."""
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(33))) % np.uint64(TABLE)).astype(np.int64)
+
+
 def _slots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Table places of bigrams and of their first characters."""
-    pair = (a * 0x9E3779B1 + b * 0x85EBCA77) % ((1 << 61) - 1)
-    one = (a * 0xC2B2AE3D + 0x27D4EB2F) % ((1 << 61) - 1)
-    return (pair ^ (pair >> 17)) % TABLE, (one ^ (one >> 15)) % TABLE
+    a, b = a.astype(np.uint64), b.astype(np.uint64)
+    return _mixed((a << np.uint64(32)) + b + np.uint64(1)), _mixed(a)
 
 
 class Bigrams:
@@ -185,20 +193,28 @@ class Bigrams:
     def __init__(self, pairs: np.ndarray, ones: np.ndarray):
         self.pairs, self.ones, self.total = np.maximum(pairs, 0), np.maximum(ones, 0), max(float(ones.sum()), 1.0)
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        """Log likelihood of each text between two blanks."""
+    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log likelihood of each text between two blanks, and the share of its non-ASCII bigrams that were ever seen."""
         if not texts:
-            return np.empty(0)
+            return np.empty(0), np.empty(0)
         flat, kinds, starts = _bigrams(texts)
         pair, one = _slots(flat[:-1], flat[1:])
         _, second = _slots(flat[1:], flat[1:])
         unigram = (self.ones[second] + 0.2) / (self.total + 0.2 * ALPHABET)
+        seen = self.pairs[pair] >= 0.5
         logs = np.log((self.pairs[pair] + SMOOTH * unigram) / (self.ones[one] + SMOOTH))
         pair, one = _slots(kinds[:-1], kinds[1:])
         logs += np.log((self.pairs[pair] + 0.1) / (self.ones[one] + 2.0))
+        logs = np.minimum(logs, 0.0)  # places of the table may be shared
         logs[starts[1:-1] - 1] = 0.0  # from one text to the next
-        sums = np.concatenate([[0.0], np.cumsum(logs)])
-        return sums[starts[1:] - 1] - sums[starts[:-1]]
+        telling = (flat[:-1] > 0x7F) | (flat[1:] > 0x7F)
+        telling[starts[1:-1] - 1] = False
+
+        def per_text(x: np.ndarray) -> np.ndarray:
+            sums = np.concatenate([[0.0], np.cumsum(x)])
+            return sums[starts[1:] - 1] - sums[starts[:-1]]
+
+        return per_text(logs), per_text(telling & seen) / np.maximum(per_text(telling), 1)
 
 
 class _Counts:
@@ -271,16 +287,17 @@ def _options(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _scored(model, least: float):
-    """Sets the gain in log likelihood of each restoration; hopeless ones go."""
+    """Sets the gain in log likelihood of each restoration; hopeless and unattested ones go."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lm = Bigrams(*model.value)
         for batch in batches:
             texts = list(dict.fromkeys([*batch["stretch"], *(r for o in batch["restored"] for r in o)]))
-            score = dict(zip(texts, lm.score(texts)))
+            likelihood, seen = lm.score(texts)
+            score, known = dict(zip(texts, likelihood)), dict(zip(texts, seen))
             rows = []
             for source, stretch, n, spread, restored, keys in zip(*(batch[c] for c in ("source", "stretch", "n", "spread", "restored", "keys"))):
-                good = [(r, list(k), float(score[r] - score[stretch])) for r, k in zip(restored, keys) if score[r] - score[stretch] > least]
+                good = [(r, list(k), float(score[r] - score[stretch])) for r, k in zip(restored, keys) if score[r] - score[stretch] > least and (known[r] >= ATTESTED or r.isascii())]
                 if good:
                     rows.append((source, stretch, n, spread, [r for r, _, _ in good], [k for _, k, _ in good], [g for _, _, g in good]))
             if rows:
@@ -314,7 +331,7 @@ def solve(documents: DataFrame) -> DataFrame:
         for _ in range(STEPS):
             expected = materialize(_expect(found, by_source, overall).groupBy("source", "key").agg(F.sum("w").alias("w"), F.sum("t").alias("t")), "expected")
             sums = {r["key"]: r["t"] for r in expected.groupBy("key").agg(F.sum("t").alias("t")).collect()}  # at most len(KEYS) rows
-            overall = np.array([(sums.get(i, 0.0) + PRIOR / len(KEYS)) / (types + 1.0) for i in range(len(KEYS))])
+            overall = np.array([(max(sums.get(i, 0.0) - 1.0, 0.0) + PRIOR / len(KEYS)) / (types + 1.0) for i in range(len(KEYS))])  # beyond one stretch
             lists = expected.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("key", "w"))).alias("m"))
             filled = F.transform(F.sequence(F.lit(0), F.lit(len(KEYS) - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
             by_source = totals.join(lists, "source", "left").select("source", F.when(F.col("m").isNotNull(), filled).otherwise(F.array().cast("array<double>")).alias("expected"), "total")
