@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from prismara.functions.text import safe_name, spoken
 from prismara.schema import CHARACTER, GENERIC_TAGS, NAMELESS_TAGS, RATING
+from prismara.session import materialize
 
 
 def _named_scores(members: DataFrame, scores: DataFrame) -> DataFrame:
@@ -47,9 +48,9 @@ def _distinct_parts(first: Column, rest: Column, most: int = 4) -> Column:
     return F.aggregate(rest, start, lambda acc, x: F.when((F.size(acc) >= most) | F.array_contains(acc, x), acc).otherwise(F.array_append(acc, x)))
 
 
-def base_names(members: DataFrame, scores: DataFrame) -> DataFrame:
+def base_names(members: DataFrame, scores: DataFrame, tfidf: DataFrame | None = None) -> DataFrame:
     """``cluster_id, base_name``: up to two characters, then the most telling tags until there are four parts."""
-    tfidf = cluster_tfidf(members, scores).where(F.col("category") != CHARACTER)
+    tfidf = (cluster_tfidf(members, scores) if tfidf is None else tfidf).where(F.col("category") != CHARACTER)
     ranked = tfidf.withColumn("r", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("tfidf"), "tag_idx", "tag")))
     telling = ranked.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "tag"))), lambda s: spoken(s["tag"])).alias("telling"))
     none = F.array().cast("array<string>")
@@ -66,10 +67,12 @@ def cluster_names(members: DataFrame, scores: DataFrame) -> DataFrame:
     A tag sets a cluster apart if it isn't in the name and its average in every
     cluster of that name is at most half this cluster's TF-IDF score.
     """
-    base = base_names(members, scores)
+    # Both are used several times, so they are written once.
+    members, scores = materialize(members.select("cluster_id", "image_id", "ord"), "members"), materialize(scores.select("image_id", "tag", "tag_idx", "category", "score"), "scores")
+    tfidf = materialize(cluster_tfidf(members, scores), "tfidf")
+    base = materialize(base_names(members, scores, tfidf), "base")
     ordered = Window.partitionBy("base_name").orderBy("cluster_id")
     shared = base.withColumn("k", F.row_number().over(ordered)).withColumn("same", F.count("*").over(Window.partitionBy("base_name")))
-    tfidf = cluster_tfidf(members, scores)
     own = shared.where("same > 1").join(tfidf, "cluster_id").withColumn("clean", spoken(F.col("tag"))).where(~F.contains("base_name", "clean"))
     others = shared.where("same > 1").select(F.col("cluster_id").alias("other"), "base_name").join(tfidf.select(F.col("cluster_id").alias("other"), "tag", F.col("avg_score").alias("theirs")), "other")
     clash = own.join(others, ["base_name", "tag"]).where((F.col("other") != F.col("cluster_id")) & (F.col("theirs") > F.col("tfidf") * 0.5)).select("cluster_id", "tag").distinct()
