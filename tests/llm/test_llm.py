@@ -253,6 +253,44 @@ def test_large_component_checks_outer_rows(spark):
     assert all(r["is_group"] == bool(s[np.ix_(linked, linked)].all()) for r in got)
 
 
+def test_large_leaf_keeps_small_groups(spark, monkeypatch):
+    """A group above LARGE, smaller groups, a chain that is none and single rows, all in one leaf."""
+    monkeypatch.setattr(cl, "LARGE", 60)
+    monkeypatch.setattr(cl, "ROUND_BYTES", 384 * 4 * 50)
+    x = planted([90, 70, 5, 3], 40, seed=8)
+    rng = np.random.default_rng(2)
+    a, b = (v / np.linalg.norm(v) for v in rng.standard_normal((2, 384)))
+    x = np.concatenate([x, np.array([a, 0.75 * a + 0.75 * b, b], np.float32)])  # the middle one is alike to both others
+    want = true_groups(x)
+    assert len({c for c, _ in want}) == 4
+    v = usable_vectors(cache(spark, x))
+    assert {tuple(r) for r in cl.groups(v).collect()} == want
+    found = cl.clusters(v).collect()
+    assert sum(r["size"] for r in found) == len(x)
+    assert {90, 70, 5, 3} <= {r["size"] for r in found}
+
+
+def test_large_leaf_of_rows_that_no_tree_divides(spark, monkeypatch):
+    """Copies that are no group, as a row alike to them is alike to another one."""
+    monkeypatch.setattr(cl, "LARGE", 30)
+    a, b = (v / np.linalg.norm(v) for v in np.random.default_rng(3).standard_normal((2, 384)))
+    x = np.concatenate([np.repeat(a[None], 50, axis=0), [0.75 * a + 0.75 * b, b]]).astype(np.float32)
+    v = usable_vectors(cache(spark, x))
+    assert not true_groups(x) and cl.groups(v).count() == 0
+    assert sum(r["size"] for r in cl.clusters(v).collect()) == len(x)
+
+
+def test_rest_of_large_leaf_is_divided(spark, monkeypatch):
+    monkeypatch.setattr(cl, "LARGE", 60)
+    monkeypatch.setattr(neighbours, "LEAF", 20)
+    x = planted([8] * 10, 120, seed=9)
+    rows = usable_vectors(cache(spark, x)).select("kind", F.lit("0L").alias("node"), "feat_id", "vec")
+    got = cl._divided(rows).collect()
+    assert sorted(r["feat_id"] for r in got) == list(range(1, len(x) + 1))
+    assert len({r["node"] for r in got}) > 3 and {r["kind"] for r in got} == {"dinov2ms_True"} and not any(r["is_group"] for r in got)
+    assert max(Counter(r["node"] for r in got).values()) <= 60
+
+
 def test_ties_go_to_the_smaller_id(spark):
     x = np.repeat(planted([], 1), 9, axis=0)
     got = {(r["q"], r["rank"]): r["b"] for r in neighbours.nearest(usable_vectors(cache(spark, x)), 3).collect()}
