@@ -207,13 +207,31 @@ def drift_report(files: DataFrame, other_renames: float | None = None) -> DataFr
 RECORD_SCHEMA = "feed string, file_id long, written_at timestamp, rec_no long, rec_key string, image_path string, text string, image_field string, text_field string, attributes map<string,string>, types map<string,string>"
 
 
-def _first(record: dict, kind: str, order: tuple[str, ...]) -> tuple[str | None, str | None]:
-    """The first usable value among the names of a class, in their fixed order."""
+def _first(record: dict, kind: str, order: tuple[str, ...]) -> str | None:
+    """The key of the first usable value among the names of a class, in their fixed order."""
     rank = {plain(k): i for i, k in enumerate(order)}
     for key in sorted((k for k in record if name_class(k) == kind), key=lambda k: (rank[plain(k)], k)):
         if record[key] not in (None, "", [], {}, 0, False):
-            return as_text(record[key]), clean(key)
-    return None, None
+            return key
+    return None
+
+
+def _apart(named: Iterable[tuple[str, Any]]) -> dict[str, Any]:
+    """A map of all the values; a name that is taken already gets a number."""
+    out: dict[str, Any] = {}
+    for name, value in named:
+        free, n = name, 1
+        while free in out:
+            n += 1
+            free = f"{name}#{n}"
+        out[free] = value
+    return out
+
+
+def _attributes(record: dict, chosen: set[str | None]) -> dict[str, str | None]:
+    """Every field but the chosen ones: under its plain name, if it has no class and no other field of the record that plain name, else as written."""
+    shared = Counter(plain(clean(k)) for k in record)
+    return _apart((clean(k) if name_class(k) or shared[plain(clean(k))] > 1 else plain(clean(k)), as_text(v)) for k, v in record.items() if k not in chosen)
 
 
 def _records(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,11 +239,11 @@ def _records(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for feed, file_id, at, body in zip(batch["feed"], batch["file_id"], batch["written_at"], batch["body"]):
             for no, (key, record) in enumerate(records_of(body)):
-                image, image_field = _first(record, "image", IMAGE_KEYS)
-                text, text_field = _first(record, "text", TEXT_KEYS)
-                rest = {plain(clean(k)): as_text(v) for k, v in record.items() if not name_class(k)}
-                kinds = {clean(k): t for k, v in record.items() if (t := json_type(v))}
-                rows.append((feed, file_id, at, no, None if key is None else clean(key), image, text, image_field, text_field, rest, kinds))
+                image, text = _first(record, "image", IMAGE_KEYS), _first(record, "text", TEXT_KEYS)
+                values = [None if k is None else as_text(record[k]) for k in (image, text)]
+                fields = [None if k is None else clean(k) for k in (image, text)]
+                kinds = _apart((clean(k), t) for k, v in record.items() if (t := json_type(v)))
+                rows.append((feed, file_id, at, no, None if key is None else clean(key), *values, *fields, _attributes(record, {image, text}), kinds))
         names = [c.split()[0] for c in RECORD_SCHEMA.split(", ")]
         yield pd.DataFrame(rows, columns=names).astype({"written_at": "datetime64[us]"})
 
@@ -233,9 +251,11 @@ def _records(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def unified_records(files: DataFrame) -> DataFrame:
     """All records of all feeds in one table.
 
-    Names of a class are one column each (``image_path``, ``text``); every other
-    field is an attribute under its plain name, its values as text, and ``types``
-    has the JSON type each field had in this record.
+    Names of a class are one column each (``image_path``, ``text``) that takes the
+    first usable value. Every other field is an attribute, its values as text: those
+    of a class (second values, empty ones) under their names as written, the others
+    under their plain names, or as written where two of a record have the same plain
+    name. ``types`` has the JSON type each field had in this record.
     """
     slim = files.select("feed", F.col("file_id").cast("long"), "written_at", "body")
     return slim.mapInPandas(_records, RECORD_SCHEMA).dropDuplicates(["feed", "file_id", "written_at", "rec_no"])

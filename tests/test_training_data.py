@@ -63,6 +63,14 @@ def test_drift(spark):
     assert len(records) == 5 and {r["image_path"] for r in records} == {"a", None}
 
 
+def test_records_keep_every_value(spark):
+    record = {"image_path": "/moved/a.jpeg", "path": "/mirror/a.jpeg", "img": None, "description": "one", "Text": "two", "label": 0, "caption": "", "annotation": False, "Width": 1, "width": 2, "Seed_No": 3, "\ud800": 4, "\udc00": 5}
+    (got,) = drift.unified_records(files(spark, [[record]])).collect()
+    assert (got["image_path"], got["text"], got["image_field"], got["text_field"]) == ("/moved/a.jpeg", "one", "image_path", "description")
+    assert got["attributes"] == {"path": "/mirror/a.jpeg", "img": None, "Text": "two", "label": "0", "caption": "", "annotation": "false", "Width": "1", "width": "2", "seedno": "3", "?": "4", "?#2": "5"}
+    assert len(got["types"]) == len(record) - 1
+
+
 def test_renames_prefer_like_names():
     old = [{"name": n, "type": "string", "rows": 1, "nulls": 0, "length": 3.0, "sketch": []} for n in ("description", "caption", "keep")]
     new = [{"name": n, "type": "string", "rows": 1, "nulls": 0, "length": 3.0, "sketch": []} for n in ("Caption", "DESCRIPTION", "keep")]
