@@ -30,12 +30,15 @@ from pyspark.sql import functions as F
 
 from prismara.functions.jsonio import as_text, clean, strict_loads
 from prismara.plans.adjacent import with_previous
+from prismara.session import materialize
 
 # The names under which records carry the image's path and its text.
 IMAGE_KEYS = ("image_path", "image", "file_path", "path", "img", "filename", "source")
 TEXT_KEYS = ("description", "caption", "text", "label", "annotation")
 
 SKETCH = 32
+#: Least similarity at which fields without a class share a column of the unified table.
+SAME_COLUMN = 0.7
 FIELD = "array<struct<name:string,type:string,rows:long,nulls:long,length:double,sketch:array<long>>>"
 PROFILE_SCHEMA = f"feed string, file_id long, written_at timestamp, records long, fields {FIELD}"
 CHANGE = "array<struct<change:string,field_old:string,field_new:string,score:double>>"
@@ -195,11 +198,15 @@ def changes(old: list[dict], new: list[dict], other_renames: float | None = None
 def drift_report(files: DataFrame, other_renames: float | None = None) -> DataFrame:
     """``feed, file_id, change, field_old, field_new, score``: each file against the one before it."""
 
+    return _report(profile_files(files), other_renames)
+
+
+def _report(profiles: DataFrame, other_renames: float | None) -> DataFrame:
     @F.pandas_udf(CHANGE)
     def compare(old: pd.Series, new: pd.Series) -> pd.Series:
         return pd.Series([changes([dict(f) for f in a], [dict(f) for f in b], other_renames) for a, b in zip(old, new)])
 
-    paired = with_previous(profile_files(files), ["feed"], ["written_at", "file_id"], ["fields"], "drift")
+    paired = with_previous(profiles, ["feed"], ["written_at", "file_id"], ["fields"], "drift")
     paired = paired.where(F.col("prev").isNotNull())
     return paired.select("feed", "file_id", F.explode(compare(F.col("prev.fields"), F.col("fields"))).alias("c")).select("feed", "file_id", "c.*")
 
@@ -228,34 +235,75 @@ def _apart(named: Iterable[tuple[str, Any]]) -> dict[str, Any]:
     return out
 
 
-def _attributes(record: dict, chosen: set[str | None]) -> dict[str, str | None]:
-    """Every field but the chosen ones: under its plain name, if it has no class and no other field of the record that plain name, else as written."""
-    shared = Counter(plain(clean(k)) for k in record)
-    return _apart((clean(k) if name_class(k) or shared[plain(clean(k))] > 1 else plain(clean(k)), as_text(v)) for k, v in record.items() if k not in chosen)
+def _attributes(record: dict, chosen: set[str | None], columns: dict[str, str]) -> dict[str, str | None]:
+    """Every field but the chosen ones: under its column, if it has no class and no other field of the record that column, else as written."""
+    column = {k: columns.get(plain(clean(k)), plain(clean(k))) for k in record if not name_class(k)}
+    shared = Counter(column.values())
+    return _apart((clean(k) if name_class(k) or shared[column[k]] > 1 else column[k], as_text(v)) for k, v in record.items() if k not in chosen)
+
+
+def _columns(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The column of each renamed field of a feed, by plain name: of the names in its chain of renames the one that most files have."""
+    top: dict[str, str] = {}
+    used: Counter = Counter()
+    named: set[str] = set()
+
+    def find(name: str) -> str:
+        while top.setdefault(name, name) != name:
+            name = top[name]
+        return name
+
+    for r in pdf.itertuples():
+        a, b = plain(r.field_old), plain(r.field_new)
+        top[find(a)] = find(b)
+        for written, files in ((r.field_old, r.n_old), (r.field_new, r.n_new)):
+            if written not in named:
+                named.add(written)
+                used[plain(written)] += files
+    chains: dict[str, list[str]] = {}
+    for name in sorted(top):
+        chains.setdefault(find(name), []).append(name)
+    columns = {name: max(chain, key=lambda n: used[n]) for chain in chains.values() for name in chain}
+    return pd.DataFrame({"feed": [pdf["feed"].iloc[0]], "columns": [columns]})
+
+
+def renamed_columns(files: DataFrame, other_renames: float = SAME_COLUMN) -> DataFrame:
+    """``feed, columns``: for each feed with renames of fields without a class, the column of each such plain name."""
+    profiles = materialize(profile_files(files), "profiles")
+    unclassed = F.udf(lambda name: not name_class(name), "boolean")
+    renames = _report(profiles, other_renames).where("change = 'renamed'").select("feed", "field_old", "field_new").distinct().where(unclassed("field_old"))
+    used = profiles.select(F.explode("fields.name").alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    counted = renames.join(used.toDF("field_old", "n_old"), "field_old").join(used.toDF("field_new", "n_new"), "field_new")
+    return counted.groupBy("feed").applyInPandas(_columns, "feed string, columns map<string,string>")
 
 
 def _records(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for feed, file_id, at, body in zip(batch["feed"], batch["file_id"], batch["written_at"], batch["body"]):
+        for feed, file_id, at, body, columns in zip(batch["feed"], batch["file_id"], batch["written_at"], batch["body"], batch["columns"]):
+            columns = dict(columns) if columns is not None else {}
             for no, (key, record) in enumerate(records_of(body)):
                 image, text = _first(record, "image", IMAGE_KEYS), _first(record, "text", TEXT_KEYS)
                 values = [None if k is None else as_text(record[k]) for k in (image, text)]
                 fields = [None if k is None else clean(k) for k in (image, text)]
                 kinds = _apart((clean(k), t) for k, v in record.items() if (t := json_type(v)))
-                rows.append((feed, file_id, at, no, None if key is None else clean(key), *values, *fields, _attributes(record, {image, text}), kinds))
+                rows.append((feed, file_id, at, no, None if key is None else clean(key), *values, *fields, _attributes(record, {image, text}, columns), kinds))
         names = [c.split()[0] for c in RECORD_SCHEMA.split(", ")]
         yield pd.DataFrame(rows, columns=names).astype({"written_at": "datetime64[us]"})
 
 
-def unified_records(files: DataFrame) -> DataFrame:
+def unified_records(files: DataFrame, other_renames: float = SAME_COLUMN) -> DataFrame:
     """All records of all feeds in one table.
 
     Names of a class are one column each (``image_path``, ``text``) that takes the
     first usable value. Every other field is an attribute, its values as text: those
     of a class (second values, empty ones) under their names as written, the others
-    under their plain names, or as written where two of a record have the same plain
-    name. ``types`` has the JSON type each field had in this record.
+    under one column for each chain of renames that the matching finds in the feed (at
+    a similarity of ``other_renames`` or more), else under their plain names, or as
+    written where two of a record have the same column. ``types`` has the JSON type
+    each field had in this record.
     """
     slim = files.select("feed", F.col("file_id").cast("long"), "written_at", "body")
+    columns = materialize(renamed_columns(files, other_renames), "columns")
+    slim = slim.join(columns.withColumnRenamed("feed", "of"), F.col("feed").eqNullSafe(F.col("of")), "left").drop("of")
     return slim.mapInPandas(_records, RECORD_SCHEMA).dropDuplicates(["feed", "file_id", "written_at", "rec_no"])

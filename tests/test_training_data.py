@@ -71,6 +71,15 @@ def test_records_keep_every_value(spark):
     assert len(got["types"]) == len(record) - 1
 
 
+def test_records_follow_renames(spark):
+    bodies = [[{"image_path": "a", "height": 1, "note": "x"}], [{"image_path": "a", "heights": 1, "note": "x"}], [{"image_path": "a", "heights_px": 1, "note": "x"}], [{"image_path": "a", "heights_px": 2, "height": 3, "lang": "en"}]]
+    t = files(spark, bodies).unionByName(files(spark, [[{"height": 7}], [{"height": 8}]], None)).unionByName(files(spark, [[{"heights": 9}]], "g"))
+    got = {(r["feed"], r["file_id"]): r["attributes"] for r in drift.unified_records(t).collect()}
+    assert got["f", 0] == got["f", 1] == got["f", 2] == {"height": "1", "note": "x"}
+    assert got["f", 3] == {"heights_px": "2", "height": "3", "lang": "en"}  # both at once: kept apart
+    assert (got[None, 0], got[None, 1], got["g", 0]) == ({"height": "7"}, {"height": "8"}, {"heights": "9"})
+
+
 def test_renames_prefer_like_names():
     old = [{"name": n, "type": "string", "rows": 1, "nulls": 0, "length": 3.0, "sketch": []} for n in ("description", "caption", "keep")]
     new = [{"name": n, "type": "string", "rows": 1, "nulls": 0, "length": 3.0, "sketch": []} for n in ("Caption", "DESCRIPTION", "keep")]
