@@ -5,7 +5,7 @@ every row is put in a leaf. A query walks the tree with a priority queue, best
 centre first, and visits every leaf whose path stays within a margin of its best
 leaf's similarity. The margin is calibrated: a bounded set of queries is compared
 with all rows by brute force, and the margin is the least that reaches ``TARGET`` of
-their true neighbours. There is no cap on leaves or candidates.
+their true neighbours (see ``calibrate``, also for tables with few of interest). There is no cap on leaves or candidates.
 
 Rows meet their queries leaf by leaf; leaves of more than ``CAP`` rows or queries are
 cut into blocks, so no task holds more than two blocks. Cosines that decide are
@@ -36,6 +36,8 @@ from prismara.session import materialize
 SAMPLE, BRANCH, LEAF, MOST_LEAVES = 5000, 16, 1500, 4096
 CAP = 2000
 TARGET, QUERIES = 0.999, 300
+#: Neighbours above the similarity of interest that a margin must rest on; with fewer, all nearest neighbours count, whatever their similarity.
+BACKED = 500
 
 
 @dataclass
@@ -180,7 +182,11 @@ def _top(s: np.ndarray, rows: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np
 
 
 def calibrate(vectors: DataFrame, trees: dict[str, Tree], counts: dict[str, int], k: int, least: float) -> dict[str, float]:
-    """Sets each tree's margin from brute-force neighbours of a bounded set of queries; returns the recall reached."""
+    """Sets each tree's margin from brute-force neighbours of a bounded set of queries; returns the recall reached.
+
+    The neighbours are those of similarity ``least`` or more among the ``k`` nearest, or,
+    if fewer than ``BACKED`` are, all ``k`` nearest. Without any, every leaf is visited.
+    """
     spark = vectors.sparkSession
     sizes = spark.createDataFrame(list(counts.items()), "kind string, rows long")
     chosen = vectors.join(F.broadcast(sizes), "kind").where(F.pmod(F.xxhash64("feat_id", F.lit(9)), F.col("rows")) < QUERIES).select("kind", "feat_id", "vec").collect()
@@ -203,7 +209,7 @@ def calibrate(vectors: DataFrame, trees: dict[str, Tree], counts: dict[str, int]
                 at = dict(zip(own.tolist(), leaf.tolist()))
                 s = unit(x) @ v.T
                 s[ids[:, None] == own[None, :]] = -np.inf
-                rows = [(kind, q, int(c), float(e), at[int(c)]) for q, cs, es in _top(s, ids, own, x, y, k) for c, e in zip(cs, es) if e >= least]
+                rows = [(kind, q, int(c), float(e), at[int(c)]) for q, cs, es in _top(s, ids, own, x, y, k) for c, e in zip(cs, es)]
                 yield pd.DataFrame(rows, columns=["kind", "q", "b", "s", "leaf"])
 
     near = vectors.mapInPandas(compare, "kind string, q long, b long, s double, leaf int")
@@ -213,8 +219,10 @@ def calibrate(vectors: DataFrame, trees: dict[str, Tree], counts: dict[str, int]
         ids, x = asked[kind]
         u = unit(x) if len(ids) else x
         row = {int(q): i for i, q in enumerate(ids)}
-        gaps = np.array([tree.gap(u[row[r["q"]]], t["leaf"]) for r in best if r["kind"] == kind for t in r["t"]])
-        tree.margin = float(np.quantile(gaps, TARGET, method="higher")) + 1e-6 if len(gaps) else 0.0
+        found = [(-t["d"], tree.gap(u[row[r["q"]]], t["leaf"])) for r in best if r["kind"] == kind for t in r["t"]]
+        alike = [g for s, g in found if s >= least]
+        gaps = np.array(alike if len(alike) >= BACKED else [g for _, g in found])
+        tree.margin = float(np.quantile(gaps, TARGET, method="higher")) + 1e-6 if len(gaps) else 2.0
         reached[kind] = float((gaps <= tree.margin).mean()) if len(gaps) else 1.0
     return reached
 

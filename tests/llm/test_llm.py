@@ -291,6 +291,19 @@ def test_rest_of_large_leaf_is_divided(spark, monkeypatch):
     assert max(Counter(r["node"] for r in got).values()) <= 60
 
 
+def test_margin_where_alike_rows_are_rare(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAF", 40)
+    monkeypatch.setattr(neighbours, "QUERIES", 30)
+    x = planted([2] * 15, 570, seed=12, spread=0.78)
+    want = true_pairs(x)
+    assert 5 < len(want) < 20
+    v = usable_vectors(cache(spark, x))
+    trees = neighbours.fit_trees(v, {"dinov2ms_True": len(x)})
+    neighbours.calibrate(v, trees, {"dinov2ms_True": len(x)}, 5, 0.6)
+    assert len(trees["dinov2ms_True"].children[0]) > 1 and trees["dinov2ms_True"].margin > 0.02
+    assert {tuple(r) for r in neighbours.alike_pairs(v).collect()} == want
+
+
 def test_ties_go_to_the_smaller_id(spark):
     x = np.repeat(planted([], 1), 9, axis=0)
     got = {(r["q"], r["rank"]): r["b"] for r in neighbours.nearest(usable_vectors(cache(spark, x)), 3).collect()}
