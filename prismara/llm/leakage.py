@@ -7,7 +7,8 @@ an exact leak, a consistent one-to-one replacement within each type is a
 re-parameterised one. Exact leaks are therefore never lost.
 
 Names are words that the evaluation texts write with a capital, and not first in a
-sentence, every time. The corpus is filtered by a sorted array of the items' window
+sentence, every time; more than ``max_names`` are not sent to the tasks but joined to
+the texts by word. The corpus is filtered by a sorted array of the items' window
 hashes while that has at most ``max_filter`` entries (8 bytes each); beyond it all
 windows of the corpus go to the join.
 
@@ -90,8 +91,8 @@ def rolling(h: np.ndarray, width: int) -> np.ndarray:
     return (sums[width:] - sums[:-width]) * _powers(n - width + 1, _INVERSE)
 
 
-def find_names(items: DataFrame, limit: int = MAX_NAMES) -> frozenset:
-    """Names in the items; none where they would be more than ``limit``, so that the set stays bounded."""
+def name_table(items: DataFrame) -> DataFrame:
+    """``word``: the names in the items."""
 
     def spans(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -105,8 +106,26 @@ def find_names(items: DataFrame, limit: int = MAX_NAMES) -> frozenset:
             yield pd.DataFrame(rows, columns=["word", "upper", "other"])
 
     seen = items.select("text").mapInPandas(spans, "word string, upper long, other long").groupBy("word").agg(F.sum("upper").alias("upper"), F.sum("other").alias("other"))
-    found = seen.where("upper > 0 AND other = 0 AND length(word) > 1").select("word").limit(limit + 1).collect()
-    return frozenset(r["word"] for r in found) if len(found) <= limit else frozenset()
+    return seen.where("upper > 0 AND other = 0 AND length(word) > 1").select("word")
+
+
+def find_names(names: DataFrame, limit: int) -> frozenset | None:
+    """The names as a set, or None where they are more than ``limit``."""
+    found = names.limit(limit + 1).collect()
+    return frozenset(r["word"] for r in found) if len(found) <= limit else None
+
+
+def _own_names(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """``texts`` with the names that each holds in ``names``, by a join on word."""
+
+    def words(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(row, w) for row, text in zip(batch["row"], batch["text"]) if isinstance(text, str) for w in dict.fromkeys(words_of(text))]
+            yield pd.DataFrame(rows, columns=["row", "word"])
+
+    numbered = materialize(texts.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    held = numbered.select("row", "text").mapInPandas(words, "row long, word string").join(names, "word", "left_semi")
+    return numbered.join(held.groupBy("row").agg(F.collect_list("word").alias("names")), "row", "left").drop("row")
 
 
 WINDOW = "id long, width int, template long, words array<string>"
@@ -121,11 +140,11 @@ def _windows(id_column: str, canon: Canon, widths: list[int] | None, keep: dict[
             rows: list[tuple] = []
             if len(known) > 500_000:
                 known = {}
-            for key, text in zip(batch[id_column], batch["text"]):
+            for key, text, own in zip(batch[id_column], batch["text"], batch["names"] if "names" in batch else [None] * len(batch)):
                 words = words_of(text) if isinstance(text, str) else []
                 if not words:
                     continue
-                h = _hashes(words, canon, known)
+                h = _hashes(words, canon if own is None else Canon(frozenset(own)), known)
                 for w in [min(width, len(words))] if widths is None else widths:
                     rolled = rolling(h, w)
                     at = np.arange(len(rolled))
@@ -146,10 +165,14 @@ def _windows(id_column: str, canon: Canon, widths: list[int] | None, keep: dict[
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, width: int = WIDTH, max_filter: int = MAX_FILTER) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, width: int = WIDTH, max_filter: int = MAX_FILTER, max_names: int = MAX_NAMES) -> DataFrame:
     """``doc_id, item_id, kind, windows``: kind ``exact`` or ``reparameterised``; the number of distinct windows."""
-    canon = Canon(find_names(items))
+    names = materialize(name_table(items), "names")
+    few = find_names(names, max_names)
+    canon = Canon(few or frozenset())
     texts = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    if few is None:
+        texts = _own_names(texts, names)
     own = materialize(texts.mapInPandas(_windows("item_id", canon, None, None, width), WINDOW).distinct(), "items")
     widths = sorted(r["width"] for r in own.select("width").distinct().collect())  # at most `width` values
     keep = None
@@ -159,6 +182,8 @@ def leaks(documents: DataFrame, items: DataFrame, width: int = WIDTH, max_filter
             keep.setdefault(w, []).append(t)
         keep = {w: np.sort(np.array(t, np.int64).view(np.uint64)) for w, t in keep.items()}
     corpus = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if few is None:
+        corpus = _own_names(corpus, names)
     found = corpus.mapInPandas(_windows("doc_id", canon, widths, keep, width), WINDOW).distinct()
     pairs = found.select(F.col("id").alias("doc_id"), "width", "template", F.col("words").alias("there")).join(own.withColumnRenamed("id", "item_id"), ["width", "template"])
     slots = F.filter(F.arrays_zip("there", "words"), lambda p: p["there"] != p["words"])

@@ -145,6 +145,15 @@ def test_reparameterised(spark):
     assert not any(d == 3 and k == "reparameterised" for d, k in got)
 
 
+def test_many_names(spark):
+    """Names are placeholders whether they are sent or joined."""
+    item = "Here the cook Anna gives her friend Peter some red apples and then Anna goes home again"
+    docs = spark.createDataFrame([(1, item), (2, item.replace("Anna", "Peter#").replace("Peter ", "Anna ").replace("#", "")), (None, item), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(5, item), (6, None)], "item_id long, text string")
+    few, many = ({tuple(r) for r in leakage.leaks(docs, items, max_names=n).collect()} for n in (100, 1))
+    assert few == many and (2, 5, "reparameterised") in {r[:3] for r in many}
+
+
 @given(st.lists(st.integers(0, 2**63), min_size=0, max_size=40), st.integers(1, 12))
 @settings(max_examples=50, deadline=None)
 def test_rolling_hash(values, width):
