@@ -1,13 +1,21 @@
 """The most similar vectors for every vector: a hierarchical k-means tree, searched best bin first.
 
-The tree of each kind is fitted on a bounded sample (about ``SAMPLE`` rows a kind);
-every row is put in a leaf. A query walks the tree with a priority queue, best
-centre first, and visits every leaf whose path stays within a margin of its best
-leaf's similarity. The margin is calibrated: a bounded set of queries is compared
-with all rows by brute force, and the margin is the least that reaches ``TARGET`` of
-their true neighbours (see ``calibrate``, also for tables with few of interest). There is no cap on leaves or candidates.
-
-Rows meet their queries leaf by leaf; leaves of more than ``CAP`` rows or queries are
+Vectors that are copies of each other are searched once. A tree is fitted on a
+bounded sample (about ``SAMPLE`` rows a node); every row is put in a page of about
+``LEAF`` rows. Bins (the tree's leaves) with near centres share a page, so that few
+neighbours lie across a border. A page that holds more than ``WIDE`` rows, as one
+sample can't tell enough bins apart, gets a tree of its own, tier after tier: pages
+have the same size however many rows there are.
+
+A query walks the tree with a priority queue, best bin first; a bin's priority is the
+greatest lead that another centre has over one on its path. It stops at the first bin
+beyond a margin, or after a number of pages. Both are calibrated: a bounded set of
+queries is compared with all rows by brute force, the number of pages is widened
+(1, 2, 4, ...) until ``TARGET`` of their true neighbours is reached, then the margin
+(see ``calibrate``, also for tables with few neighbours of interest). Without bounds every page would be visited; no candidate
+within them is dropped.
+
+Rows meet their queries page by page; pages of more than ``CAP`` rows or queries are
 cut into blocks, so no task holds more than two blocks. Cosines that decide are
 computed in double precision; ties go to the smaller id.
 
@@ -18,36 +26,43 @@ table gives no row; fewer than k others give fewer neighbours.
 
 from __future__ import annotations
 
-import heapq
+import functools
 import math
 import pickle
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismara.llm.mixture import spread_seeds
-from prismara.llm.vectors import cosine, unit, unpack
-from prismara.session import materialize
+from prismara.llm.vectors import cosine, distinct_vectors, unit, unpack
+from prismara.session import materialize, sized
 
-SAMPLE, BRANCH, LEAF, MOST_LEAVES = 5000, 16, 1500, 4096
+SAMPLE, BRANCH, LEAF = 5000, 64, 500
+#: Sample rows that a bin must rest on; bins fitted for each page; rows at which a page gets a tree of its own.
+BACKING, BINS, WIDE = 8, 2, 2000
 CAP = 2000
+#: Cosine of bins' centres from which it is asked whether they are one; it saves work only.
+ONE = 0.75
 TARGET, QUERIES = 0.999, 300
+#: Share of the queries all of whose neighbours lie within the margin ``whole``.
+WHOLE = 0.998
 #: Neighbours above the similarity of interest that a margin must rest on; with fewer, all nearest neighbours count, whatever their similarity.
 BACKED = 500
 
 
 @dataclass
 class Tree:
-    """Nodes in arrays: centres (unit length), children and leaf numbers. Node 0 is the root."""
+    """Nodes in arrays: centres (unit length) and children; bins are grouped into pages. Node 0 is the root."""
 
     centres: list[np.ndarray] = field(default_factory=list)
     children: list[np.ndarray] = field(default_factory=list)
     parent: list[int] = field(default_factory=list)
     margin: float = 0.0
+    whole: float = 0.0
+    most: int = 1
 
     def add(self, centre: np.ndarray, parent: int) -> int:
         self.centres.append(centre)
@@ -55,149 +70,242 @@ class Tree:
         self.parent.append(parent)
         return len(self.centres) - 1
 
-    def freeze(self) -> None:
+    def freeze(self, page: dict[int, int], single: set[int]) -> None:
+        """``page`` of every bin; ``single`` are the pages that are not to be divided."""
         self.matrix = np.stack(self.centres).astype(np.float32)
-
-    def scores(self, u: np.ndarray, node: int) -> np.ndarray:
-        return u @ self.matrix[self.children[node]].T
-
-    def leaf_of(self, u: np.ndarray) -> np.ndarray:
-        """The leaf that a greedy descent reaches, for many rows at once."""
+        self.page = np.full(len(self.centres), -1)
+        for node, p in page.items():
+            self.page[node] = p
+        self.pages = int(self.page.max()) + 1
+        self.single = single
+
+    def leads(self, u: np.ndarray, node: int) -> np.ndarray:
+        """How far each child of ``node`` is behind the best one."""
+        s = u @ self.matrix[self.children[node]].T
+        return s.max(1, keepdims=True) - s
+
+    def home(self, u: np.ndarray) -> np.ndarray:
+        """The page that a greedy descent reaches, for many rows at once."""
         at = np.zeros(len(u), int)
-        open_ = np.arange(len(u)) if len(self.children[0]) else np.empty(0, int)
+        open_ = np.flatnonzero(self.page[at] < 0)
         while len(open_):
-            nxt = []
             for node in np.unique(at[open_]):
                 rows = open_[at[open_] == node]
-                at[rows] = self.children[node][self.scores(u[rows], node).argmax(1)]
-                nxt.append(rows[[len(self.children[c]) > 0 for c in at[rows]]])
-            open_ = np.concatenate(nxt)
-        return at
-
-    def visit(self, u: np.ndarray, first: np.ndarray) -> list[list[int]]:
-        """Leaves of each query, best bin first; a node's children wait in the queue if they are within the margin of its best child."""
-        top = self.scores(u, 0) if len(self.children[0]) else None
-        out = []
-        for q in range(len(u)):
-            leaves = [int(first[q])]
-            if top is not None:
-                queue = [(-float(s), int(c)) for s, c in zip(top[q], self.children[0]) if s >= top[q].max() - self.margin]
-                heapq.heapify(queue)
-                while queue:
-                    _, node = heapq.heappop(queue)
-                    below = self.children[node]
-                    if not len(below):
-                        if node != leaves[0]:
-                            leaves.append(node)
-                        continue
-                    scores = self.matrix[below] @ u[q]
-                    for s, c in zip(scores, below):
-                        if s >= scores.max() - self.margin:
-                            heapq.heappush(queue, (-float(s), int(c)))
-            out.append(leaves)
+                at[rows] = self.children[node][self.leads(u[rows], node).argmin(1)]
+            open_ = open_[self.page[at[open_]] < 0]
+        return self.page[at]
+
+    def visit(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, page) of every visit. Each round pops the best open bin of every query that goes on."""
+        queue = (np.arange(len(u)), np.zeros(len(u), int), np.zeros(len(u), np.float32))
+        seen = np.zeros((len(u), self.pages), bool)
+        count = np.zeros(len(u), int)
+        asked, reached = [], []
+        while len(queue[0]):
+            order = np.lexsort((queue[1], queue[2], queue[0]))
+            q, node, gap = (x[order] for x in queue)
+            best = np.r_[True, q[1:] != q[:-1]]
+            pq, pn, pg = q[best], node[best], gap[best]
+            page = self.page[pn]
+            fresh = (page >= 0) & ~seen[pq, page]
+            seen[pq[fresh], page[fresh]] = True
+            count[pq[fresh]] += 1
+            asked.append(pq[fresh]), reached.append(page[fresh])
+            opened = [(q[~best], node[~best], gap[~best])]
+            for inner in np.unique(pn[page < 0]):
+                rows = pq[pn == inner]
+                g = np.maximum(self.leads(u[rows], inner), pg[pn == inner][:, None])
+                i, j = np.nonzero(g <= self.margin)
+                opened.append((rows[i], self.children[inner][j], g[i, j]))
+            queue = tuple(np.concatenate([x[k] for x in opened]) for k in range(3))
+            on = count[queue[0]] < self.most
+            queue = tuple(x[on] for x in queue)
+        return np.concatenate(asked), np.concatenate(reached)
+
+    def gaps(self, u: np.ndarray) -> np.ndarray:
+        """Of each row and page the least priority of the page's bins."""
+        out = np.full((len(u), self.pages), np.inf, np.float32)
+        todo = [(0, np.zeros(len(u), np.float32))]
+        while todo:
+            node, gap = todo.pop()
+            if self.page[node] >= 0:
+                np.minimum(out[:, self.page[node]], gap, out=out[:, self.page[node]])
+                continue
+            g = np.maximum(self.leads(u, node), gap[:, None])
+            todo += [(int(c), g[:, j]) for j, c in enumerate(self.children[node])]
         return out
 
-    def gap(self, u: np.ndarray, leaf: int) -> float:
-        """The margin at which a query reaches ``leaf``: at each level, the best child's lead over the one on the path."""
-        lead, node = 0.0, leaf
-        while node > 0:
-            scores = self.matrix[self.children[self.parent[node]]] @ u
-            lead = max(lead, float(scores.max() - self.matrix[node] @ u))
-            node = self.parent[node]
-        return lead
+
+    def bound(self, gaps: np.ndarray, query: list[int], page: list[int]) -> float:
+        """Sets the bounds from the pages that hold the queries' neighbours; returns the share of neighbours within them."""
+        if not query:
+            self.margin, self.whole, self.most = 2.0, 2.0, self.pages
+            return 1.0
+        lead = gaps[query, page]
+        place = np.concatenate([(gaps[query[a : a + 4096]] < lead[a : a + 4096, None]).sum(1) for a in range(0, len(query), 4096)])  # pages visited before
+        each = (1 + TARGET) / 2  # both bounds together lose no more than 1 - TARGET
+        self.most = 1
+        while (place < self.most).mean() < each:
+            self.most *= 2
+        self.margin = float(np.quantile(lead, each, method="higher")) + 1e-6
+        self.whole = float(pd.Series(lead).groupby(query).max().quantile(WHOLE, interpolation="higher")) + 1e-6
+        return float(((place < self.most) & (lead <= self.margin)).mean())
+
+    def bound_by_sample(self, u: np.ndarray, k: int) -> None:
+        """Sets the bounds from neighbours among the sample itself, which are farther than those among all rows, so the bounds are wide."""
+        q = np.random.default_rng(5).permutation(len(u))[:QUERIES]
+        s = u[q] @ u.T
+        s[np.arange(len(q)), q] = -np.inf
+        n = min(k, len(u) - 1)
+        near = np.argpartition(-s, n - 1, axis=1)[:, :n] if n else np.empty((len(q), 0), int)
+        home = self.home(u)
+        self.bound(self.gaps(u[q]), np.repeat(np.arange(len(q)), n).tolist(), home[near].ravel().tolist())
+
+
+def _spread(u: np.ndarray, k: int, seed: int = 11) -> np.ndarray:
+    """Row numbers of ``k`` seeds of unit rows, drawn in proportion to the squared distance from those before."""
+    rng = np.random.default_rng(seed)
+    order = [int(rng.integers(len(u)))]
+    far = np.maximum(2 - 2 * (u @ u[order[0]]), 0)
+    for _ in range(min(k, len(u)) - 1):
+        total = float(far.sum())
+        if total <= 1e-6 * len(u):
+            break
+        i = min(int(np.searchsorted(np.cumsum(far), rng.random() * total)), len(u) - 1)
+        order.append(i)
+        np.minimum(far, np.maximum(2 - 2 * (u @ u[i]), 0), out=far)
+    return np.array(order)
 
 
 def kmeans(u: np.ndarray, k: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Spherical k-means: centres of unit length and labels; empty clusters vanish."""
-    centres = u[spread_seeds(u, k)]
+    centres = u[_spread(u, k)]
     label = (u @ centres.T).argmax(1)
     for _ in range(rounds):
-        sums = np.zeros_like(centres)
-        np.add.at(sums, label, u)
-        norm = np.linalg.norm(sums, axis=1)
-        centres = sums[norm > 1e-9] / norm[norm > 1e-9, None]
+        order = np.argsort(label, kind="stable")
+        used, start = np.unique(label[order], return_index=True)
+        sums = np.add.reduceat(u[order], start, axis=0)
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
         new = (u @ centres.T).argmax(1)
-        if len(centres) == len(norm) and (new == label).all():
+        if len(used) == int(label.max()) + 1 and (new == label).all():
             break
         label = new
     used = np.unique(label)
     return centres[used], np.searchsorted(used, label)
 
 
-def build_tree(u: np.ndarray, leaves: int, divisible=None) -> Tree:
-    """A tree of about ``leaves`` leaves, sized by the share of the sample below each node.
+def _paged(centres: np.ndarray, rows: np.ndarray, most: float, joins: Callable[[list[int]], bool] | None) -> list[list[int]]:
+    """Bins with near centres share a page of at most ``most`` rows, or more where ``joins`` says that they are one."""
+    i, j = np.triu_indices(len(centres), 1)
+    near = (centres @ centres.T)[i, j]
+    order = np.argsort(-near, kind="stable")
+    page, held, size = list(range(len(centres))), {k: [k] for k in range(len(centres))}, dict(enumerate(rows.tolist()))
+    for a, b, s in zip(i[order].tolist(), j[order].tolist(), near[order].tolist()):
+        p, q = page[a], page[b]
+        if p == q or (size[p] + size[q] > most and not (joins is not None and s >= ONE and joins(held[p] + held[q]))):
+            continue
+        for k in held[q]:
+            page[k] = p
+        held[p] += held.pop(q)
+        size[p] += size.pop(q)
+    return [sorted(h) for h in held.values()]
 
-    ``divisible`` may say of a node's rows that they are to stay in one leaf.
+
+def build_tree(u: np.ndarray, rows: int, divisible: Callable[[np.ndarray], bool] | None = None, leaf: int = LEAF) -> Tree:
+    """A tree with pages of about ``leaf`` of ``rows`` rows, of which ``u`` is a sample.
+
+    ``divisible`` may say of a node's rows that they are to stay in one page.
     """
     tree = Tree()
     mean = u.mean(0)
     root = tree.add(mean / max(float(np.linalg.norm(mean)), 1e-9), -1)
-    todo = [(root, np.arange(len(u)), leaves)]
+    want = int(np.clip(math.ceil(rows / leaf), 1, max(1, len(u) // BACKING)))
+    todo = [(root, np.arange(len(u)), want * BINS if want > 1 else 1)]
+    bins: dict[int, np.ndarray] = {}
+    single = set()
     while todo:
-        node, rows, want = todo.pop()
-        if want < 2 or len(rows) < 4 or (divisible is not None and not divisible(u[rows])):
-            continue
-        centres, label = kmeans(u[rows], min(BRANCH, want, len(rows) // 2))
+        node, own, n = todo.pop()
+        whole = n > 1 and divisible is not None and not divisible(u[own])
+        centres, label = kmeans(u[own], min(BRANCH, n, max(1, len(own) // 2))) if n > 1 and not whole else (u[:1], None)
         if len(centres) < 2:
+            bins[node] = own
+            if whole or n > 1:
+                single.add(node)
             continue
         kids = []
         for k, c in enumerate(centres):
             kid = tree.add(c, node)
             kids.append(kid)
-            own = rows[label == k]
-            todo.append((kid, own, round(want * len(own) / len(rows))))
+            part = own[label == k]
+            todo.append((kid, part, round(n * len(part) / len(own))))
         tree.children[node] = np.array(kids)
-    tree.freeze()
+    nodes = list(bins)
+    share = np.array([len(bins[b]) for b in nodes]) * (rows / max(len(u), 1))
+    one: dict[tuple, bool] = {}
+
+    def joins(some: list[int]) -> bool:
+        key = tuple(sorted(some))
+        if key not in one:
+            one[key] = not divisible(u[np.concatenate([bins[nodes[k]] for k in some])])
+        return one[key]
+
+    most = 1.5 * max(leaf, rows / want)
+    pages = _paged(np.stack([tree.centres[b] for b in nodes]), share, most, None if divisible is None else joins)
+    undivided = {p for p, held in enumerate(pages) if (len(held) == 1 and nodes[held[0]] in single) or (len(held) > 1 and share[held].sum() > most)}
+    tree.freeze({nodes[k]: p for p, held in enumerate(pages) for k in held}, undivided)
     return tree
 
 
 def fit_trees(vectors: DataFrame, counts: dict[str, int], divisible=None) -> dict[str, Tree]:
     """One tree a kind, fitted on a sample chosen by hash."""
     sizes = vectors.sparkSession.createDataFrame(list(counts.items()), "kind string, rows long")
-    sampled = vectors.join(F.broadcast(sizes), "kind").where(F.pmod(F.xxhash64("feat_id", F.lit(5)), F.col("rows")) < SAMPLE)
+    sampled = vectors.join(F.broadcast(sizes), "kind").where(F.pmod(F.xxhash64("feat_id", F.lit(5)), F.col("rows")) < SAMPLE).select("kind", "feat_id", "vec", "rows")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         u = unit(unpack(pdf.sort_values("feat_id")["vec"]))
-        want = int(np.clip(math.ceil(pdf["rows"].iloc[0] / LEAF), 1, min(MOST_LEAVES, max(1, len(u) // 4))))
-        return pd.DataFrame({"kind": [pdf["kind"].iloc[0]], "tree": [pickle.dumps(build_tree(u, want, divisible))]})
+        return pd.DataFrame({"kind": [pdf["kind"].iloc[0]], "tree": [pickle.dumps(build_tree(u, int(pdf["rows"].iloc[0]), divisible, LEAF))]})
 
     return {r["kind"]: pickle.loads(r["tree"]) for r in sampled.groupBy("kind").applyInPandas(fit, "kind string, tree binary").collect()}
 
 
-def _top(s: np.ndarray, rows: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each row of ``s`` (cosines in single precision, own cell -inf) its k best columns, decided in double precision."""
+def _top(s: np.ndarray, rows: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row id, column id and cosine of the k best columns of each row of ``s`` (cosines in single precision, own cell -inf), decided in double precision."""
     n = min(k, s.shape[1])
-    if not n:
-        return
-    kth = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
+    if not n or not len(s):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    out = []
     for start in range(0, len(s), 256):
         part = s[start : start + 256]
-        i, j = np.nonzero((part >= kth[start : start + 256, None] - 2e-6) & np.isfinite(part))
+        kth = np.partition(part, part.shape[1] - n, axis=1)[:, part.shape[1] - n, None]
+        i, j = np.nonzero((part >= kth - 2e-6) & np.isfinite(part))
         exact = np.concatenate([cosine(x[start + i[a : a + 2048]], y[j[a : a + 2048]]) for a in range(0, len(i), 2048)]) if len(i) else np.empty(0)
-        cuts = np.searchsorted(i, np.arange(len(part) + 1))
-        for r in range(len(part)):
-            a, b = cuts[r], cuts[r + 1]
-            order = np.lexsort((cols[j[a:b]], -exact[a:b]))[:n]
-            yield int(rows[start + r]), cols[j[a:b]][order], exact[a:b][order]
+        order = np.lexsort((cols[j], -exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        keep = rank < n
+        out.append((rows[start + i[keep]], cols[j[keep]], exact[keep]))
+    return tuple(np.concatenate([o[c] for o in out]) for c in range(3))
 
 
-def calibrate(vectors: DataFrame, trees: dict[str, Tree], counts: dict[str, int], k: int, least: float) -> dict[str, float]:
-    """Sets each tree's margin from brute-force neighbours of a bounded set of queries; returns the recall reached.
+def calibrate(vectors: DataFrame, trees: dict[str, Tree], counts: dict[str, int], k: int, least: float, queries: int = QUERIES) -> dict[str, float]:
+    """Sets each tree's bounds from brute-force neighbours of a bounded set of queries; returns the recall reached.
 
     The neighbours are those of similarity ``least`` or more among the ``k`` nearest, or,
-    if fewer than ``BACKED`` are, all ``k`` nearest. Without any, every leaf is visited.
+    if fewer than ``BACKED`` are, all ``k`` nearest. Without any, every page is visited.
     """
     spark = vectors.sparkSession
     sizes = spark.createDataFrame(list(counts.items()), "kind string, rows long")
-    chosen = vectors.join(F.broadcast(sizes), "kind").where(F.pmod(F.xxhash64("feat_id", F.lit(9)), F.col("rows")) < QUERIES).select("kind", "feat_id", "vec").collect()
-    asked: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    chosen = vectors.join(F.broadcast(sizes), "kind").where(F.pmod(F.xxhash64("feat_id", F.lit(9)), F.col("rows")) < queries).select("kind", "feat_id", "vec").collect()
+    asked: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # at most about `queries` rows a kind
     for kind in counts:
         own = sorted((r["feat_id"], r["vec"]) for r in chosen if r["kind"] == kind)
         asked[kind] = (np.array([i for i, _ in own], np.int64), unpack([v for _, v in own]))
     shared = spark.sparkContext.broadcast((asked, trees))
 
     def compare(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of each task's rows the k nearest of every query, with the page they are in."""
         asked, trees = shared.value
+        best: dict[str, pd.DataFrame] = {}
         for batch in batches:
             for kind, part in batch.groupby("kind", sort=False):
                 ids, x = asked[kind]
@@ -205,82 +313,148 @@ def calibrate(vectors: DataFrame, trees: dict[str, Tree], counts: dict[str, int]
                     continue
                 y, own = unpack(part["vec"]), part["feat_id"].to_numpy()
                 v = unit(y)
-                leaf = trees[kind].leaf_of(v)
-                at = dict(zip(own.tolist(), leaf.tolist()))
                 s = unit(x) @ v.T
                 s[ids[:, None] == own[None, :]] = -np.inf
-                rows = [(kind, q, int(c), float(e), at[int(c)]) for q, cs, es in _top(s, ids, own, x, y, k) for c, e in zip(cs, es)]
-                yield pd.DataFrame(rows, columns=["kind", "q", "b", "s", "leaf"])
-
-    near = vectors.mapInPandas(compare, "kind string, q long, b long, s double, leaf int")
-    best = near.groupBy("kind", "q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("d"), "b", "leaf"))), 1, k).alias("t")).collect()
+                q, b, e = _top(s, ids, own, x, y, k)
+                near, back = np.unique(b, return_inverse=True)
+                page = trees[kind].home(v[pd.Index(own).get_indexer(near)]) if len(near) else np.empty(0, int)
+                found = pd.DataFrame({"kind": kind, "q": q, "b": b, "s": e, "page": page[back]})
+                found = pd.concat([best[kind], found]) if kind in best else found
+                best[kind] = found.sort_values(["q", "s", "b"], ascending=[True, False, True]).groupby("q").head(k)
+        yield from best.values()
+
+    near = vectors.select("kind", "feat_id", "vec").mapInPandas(compare, "kind string, q long, b long, s double, page int")
+    best = near.groupBy("kind", "q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("d"), "b", "page"))), 1, k).alias("t")).collect()
     reached = {}
     for kind, tree in trees.items():
         ids, x = asked[kind]
-        u = unit(x) if len(ids) else x
         row = {int(q): i for i, q in enumerate(ids)}
-        found = [(-t["d"], tree.gap(u[row[r["q"]]], t["leaf"])) for r in best if r["kind"] == kind for t in r["t"]]
-        alike = [g for s, g in found if s >= least]
-        gaps = np.array(alike if len(alike) >= BACKED else [g for _, g in found])
-        tree.margin = float(np.quantile(gaps, TARGET, method="higher")) + 1e-6 if len(gaps) else 2.0
-        reached[kind] = float((gaps <= tree.margin).mean()) if len(gaps) else 1.0
+        gaps = tree.gaps(unit(x)) if len(ids) else np.empty((0, tree.pages))
+        at = [(-t["d"], row[r["q"]], t["page"]) for r in best if r["kind"] == kind for t in r["t"]]
+        alike = [a for a in at if a[0] >= least]
+        at = alike if len(alike) >= BACKED else at
+        reached[kind] = tree.bound(gaps, [q for _, q, _ in at], [p for _, _, p in at])
     return reached
 
 
-SLOT = "array<struct<leaf:int,mb:int,qb:int,member:boolean,query:boolean>>"
-RESULT = "kind string, q long, b long, s double"
+SLOTS = "array<struct<node:string,member:boolean,query:boolean>>"
+ROUTED = f"kind string, feat_id long, copies long, vec binary, slots {SLOTS}"
+PLACED = ["kind", "node", "feat_id", "copies", "vec", "member", "query"]
+
+
+def _routed(part: pd.DataFrame, tree: Tree, prefix: str, member: np.ndarray, asks: np.ndarray) -> pd.DataFrame:
+    """Rows of one tree with the pages where they are a member, a query or both."""
+    u = unit(unpack(part["vec"]))
+    names = [f"{prefix}/{p}" + "!" * (p in tree.single) for p in range(tree.pages)]
+    slots: list[list[dict]] = [[] for _ in range(len(u))]
+    home = tree.home(u)
+    where = np.flatnonzero(asks)
+    q, page = tree.visit(u[where]) if len(where) else (where, where)
+    q = where[q]
+    for i in np.flatnonzero(member):
+        slots[i].append({"node": names[home[i]], "member": True, "query": bool(asks[i])})
+    for i, p in zip(q.tolist(), page.tolist()):
+        if not (member[i] and p == home[i]):
+            slots[i].append({"node": names[p], "member": False, "query": True})
+    return pd.DataFrame({"kind": part["kind"], "feat_id": part["feat_id"], "copies": part["copies"], "vec": part["vec"], "slots": slots})
+
+
+def _widened(tree: Tree, factor: float | None) -> None:
+    if factor is not None:
+        tree.margin, tree.most = max(tree.whole, tree.margin) * factor, tree.pages
+
+
+def descend(rows: DataFrame, trees: dict[str, Tree], k: int, divisible=None, widen: float | None = None) -> DataFrame:
+    """PLACED rows of ``rows(kind, feat_id, copies, vec, asks)``, once for each page where one is a member or a query.
+
+    ``trees`` place them in the first tier. Pages that are still wide get trees of
+    their own, which are joined to the rows and not sent to all tasks. ``widen`` is for
+    rows that must meet all their neighbours at once: the factor on the margin ``whole``.
+    """
+    for tree in trees.values():
+        _widened(tree, widen)
+    shared = rows.sparkSession.sparkContext.broadcast(trees)  # at most BINS * SAMPLE / BACKING centres a kind, and inner ones
+
+    def place(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for kind, part in batch.groupby("kind", sort=False):
+                yield _routed(part, shared.value[kind], "", np.ones(len(part), bool), part["asks"].to_numpy(bool))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        u = unit(unpack(pdf.sort_values("feat_id")["vec"]))
+        tree = build_tree(u, int(pdf["members"].iloc[0]), divisible, LEAF)
+        tree.bound_by_sample(u, k)
+        _widened(tree, widen)
+        if tree.pages < 2:
+            tree.single = {0}
+        return pdf[["kind", "node"]].iloc[:1].assign(model=[pickle.dumps(tree)])
+
+    def deeper(part: pd.DataFrame, tree: bytes) -> pd.DataFrame:
+        return _routed(part, pickle.loads(tree), part["node"].iloc[0], part["member"].to_numpy(bool), part["query"].to_numpy(bool))
+
+    tier = materialize(rows.mapInPandas(place, ROUTED), "routed")
+    done = []
+    while True:
+        open_ = tier.select("kind", "feat_id", "copies", "vec", F.explode("slots").alias("s")).select("kind", "s.node", "feat_id", "copies", "vec", "s.member", "s.query")
+        sizes = tier.select("kind", F.explode("slots").alias("s")).groupBy("kind", "s.node").agg(F.count_if("s.member").alias("members"), F.count("*").alias("rows"))
+        wide, few = sized(sizes.where((F.col("members") > WIDE) & ~F.endswith("node", F.lit("!"))), "wide")
+        if not few:
+            done.append(open_)
+            return functools.reduce(DataFrame.unionByName, done)
+        done.append(open_.join(wide, ["kind", "node"], "left_anti"))
+        inner = open_.join(wide, ["kind", "node"])
+        sampled = inner.where(F.col("member") & (F.pmod(F.xxhash64("feat_id", F.lit(5)), F.col("members")) < SAMPLE))
+        fitted = sampled.groupBy("kind", "node").applyInPandas(fit, "kind string, node string, model binary")
+        tier = materialize(with_models(inner, fitted.join(wide, ["kind", "node"]), deeper, ROUTED), "routed")
+
+
+def with_models(rows: DataFrame, models: DataFrame, apply: Callable[[pd.DataFrame, bytes], pd.DataFrame], schema: str) -> DataFrame:
+    """``apply`` to ``rows(kind, node, rows, ...)``, in blocks of about CAP, with the model of their node in ``models(kind, node, rows, model)``.
+
+    Models are joined to the blocks, so they may be as many as there are nodes.
+    """
+    blocks = F.ceil(F.col("rows") / CAP).cast("int")
+    held = materialize(models.select("kind", "node", "rows", "model"), "models").select("kind", "node", "model", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    cut = rows.withColumn("block", F.pmod(F.xxhash64("feat_id"), blocks).cast("int"))
+    empty = [f.split()[0] for f in schema.split(", ")]
+
+    def run(part: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if not len(part):
+            return pd.DataFrame({c: [] for c in empty})
+        return apply(part.reset_index(drop=True), model["model"].iloc[0])
+
+    return cut.groupBy("kind", "node", "block").cogroup(held.groupBy("kind", "node", "block")).applyInPandas(run, schema)
 
 
 def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, only: str = "true") -> DataFrame:
     """``kind, q, rank, b, s``: the k most similar others of each query, best first.
 
-    ``least`` is the similarity below which neighbours are of no interest: the margin
-    is calibrated on neighbours above it, and none below it is returned. ``only`` is
+    ``least`` is the similarity below which neighbours are of no interest: the bounds
+    are calibrated on neighbours above it, and none below it is returned. ``only`` is
     a condition on ``feat_id`` that says which rows are queries.
     """
     spark = vectors.sparkSession
-    rows = materialize(vectors, "vectors")
+    rows, spare = distinct_vectors(vectors)
     counts = {r["kind"]: r["count"] for r in rows.groupBy("kind").count().collect()}
     if not counts:
         return spark.createDataFrame([], "kind string, q long, rank int, b long, s double")
+    copied, some = sized(spare, "spare")
+    asks = rows.withColumn("asks", F.expr(only))
+    if some:
+        also, _ = sized(copied.where(F.expr(only)).select(F.col("rep").alias("feat_id")).distinct(), "asked")
+        asks = asks.join(also.withColumn("also", F.lit(True)), "feat_id", "left").withColumn("asks", F.col("asks") | F.coalesce("also", F.lit(False)))
     trees = fit_trees(rows, counts)
     calibrate(rows, trees, counts, k, least)
-    shared = spark.sparkContext.broadcast(trees)
-
-    def place(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for kind, part in batch.groupby("kind", sort=False):
-                tree = shared.value[kind]
-                u = unit(unpack(part["vec"]))
-                leaf = tree.leaf_of(u)
-                asks = part["asks"].to_numpy()
-                visits: list[list[int]] = [[] for _ in range(len(u))]
-                where = np.flatnonzero(asks)
-                for i, v in zip(where, tree.visit(u[where], leaf[where])):
-                    visits[i] = v
-                yield pd.DataFrame({"kind": kind, "feat_id": part["feat_id"].to_numpy(), "vec": part["vec"].to_numpy(), "leaf": leaf.astype(np.int32), "visits": visits})
-
-    placed = materialize(rows.withColumn("asks", F.expr(only)).mapInPandas(place, "kind string, feat_id long, vec binary, leaf int, visits array<int>"), "placed")
-    # Rows and queries of each leaf: at most MOST_LEAVES numbers a kind.
-    members = {(r["kind"], r["leaf"]): r["count"] for r in placed.groupBy("kind", "leaf").count().collect()}
-    asked = {(r["kind"], r["leaf"]): r["count"] for r in placed.select("kind", F.explode("visits").alias("leaf")).groupBy("kind", "leaf").count().collect()}
-    blocks = {key: (math.ceil(n / CAP), math.ceil(asked.get(key, 0) / CAP)) for key, n in members.items()}
-
-    @F.pandas_udf(SLOT)
-    def slots(kind: pd.Series, feat_id: pd.Series, leaf: pd.Series, visits: pd.Series) -> pd.Series:
-        """The (leaf, member block, query block) groups where a row is a member, a query, or both."""
-        out = []
-        for kd, f, own, vs in zip(kind, feat_id, leaf, visits):
-            roles: dict[tuple, list[bool]] = {}
-            mb, qb = blocks[kd, own]
-            for j in range(qb):
-                roles.setdefault((own, f % mb, j), [False, False])[0] = True
-            for v in vs:
-                mb, qb = blocks.get((kd, int(v)), (0, 0))
-                for i in range(mb):
-                    roles.setdefault((int(v), i, f // 7 % qb), [False, False])[1] = True
-            out.append([{"leaf": a, "mb": b, "qb": c, "member": m, "query": q} for (a, b, c), (m, q) in roles.items()])
-        return pd.Series(out)
+    placed = descend(asks.select("kind", "feat_id", "copies", "vec", "asks"), trees, k)
+    sizes = placed.groupBy("kind", "node").agg(F.count_if("member").alias("m"), F.count_if("query").alias("q")).where(f"m > {CAP} OR q > {CAP}")
+    blocks, _ = sized(sizes.select("kind", "node", *(F.greatest(F.ceil(F.col(c) / CAP), F.lit(1)).cast("int").alias(c) for c in "mq")), "blocks")
+    slot = lambda i, j, member, query: F.struct(i.cast("int").alias("mb"), j.cast("int").alias("qb"), F.lit(member).alias("member"), F.lit(query).alias("query"))
+    none = F.array().cast("array<struct<mb:int,qb:int,member:boolean,query:boolean>>")
+    mb, qb = F.pmod(F.xxhash64("feat_id"), F.col("m")), F.pmod(F.xxhash64("feat_id", F.lit(1)), F.col("q"))
+    as_member = F.when(F.col("member"), F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda j: slot(mb, j, True, False))).otherwise(none)
+    as_query = F.when(F.col("query"), F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda i: slot(i, qb, False, True))).otherwise(none)
+    plain = F.array(F.struct(F.lit(0).alias("mb"), F.lit(0).alias("qb"), "member", "query"))
+    slots = F.when(F.col("m").isNull(), plain).otherwise(F.concat(as_member, as_query))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, x = pdf["feat_id"].to_numpy(), unpack(pdf["vec"])
@@ -293,16 +467,38 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, only: str = "tr
                 part = q[start : start + 1000]
                 s = u[part] @ u[m].T
                 s[ids[part][:, None] == ids[m][None, :]] = -np.inf
-                found += [(pdf["kind"].iloc[0], a, int(c), float(e)) for a, cs, es in _top(s, ids[part], ids[m], x[part], y, k) for c, e in zip(cs, es) if e >= least]
-        return pd.DataFrame(found, columns=["kind", "q", "b", "s"])
+                a, b, e = _top(s, ids[part], ids[m], x[part], y, k)
+                found.append((a[e >= least], b[e >= least], e[e >= least]))
+        a, b, e = (np.concatenate([f[c] for f in found]) if found else np.empty(0) for c in range(3))
+        return pd.DataFrame({"kind": pdf["kind"].iloc[0], "q": a.astype(np.int64), "b": b.astype(np.int64), "s": e.astype(float)})
 
-    grouped = placed.select("kind", "feat_id", "vec", F.explode(slots("kind", "feat_id", "leaf", "visits")).alias("t")).select("kind", "feat_id", "vec", "t.*").groupBy("kind", "leaf", "mb", "qb")
-    hits = grouped.applyInPandas(search, RESULT)
+    grouped = placed.join(blocks, ["kind", "node"], "left").select("kind", "node", "feat_id", "vec", F.explode(slots).alias("t")).select("kind", "node", "feat_id", "vec", "t.*").groupBy("kind", "node", "mb", "qb")
+    hits = grouped.applyInPandas(search, "kind string, q long, b long, s double")
     # At most k neighbours come from each visited block.
-    best = hits.groupBy("kind", "q").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("s")).alias("d"), "b"))), 1, k).alias("t"))
+    near = lambda pairs: pairs.groupBy("kind", "q").agg(F.array_sort(F.collect_set(F.struct((-F.col("s")).alias("d"), "b"))).alias("t"))
+    best = near(hits).select("kind", "q", F.slice("t", 1, k).alias("t"))
+    if some:
+        best = _with_copies(best, copied, k, least, only, near)
     return best.select("kind", "q", F.posexplode("t").alias("pos", "n")).select("kind", "q", (F.col("pos") + 1).alias("rank"), "n.b", (-F.col("n.d")).alias("s"))
 
 
+def _with_copies(best: DataFrame, spare: DataFrame, k: int, least: float, only: str, near) -> DataFrame:
+    """Neighbours of distinct vectors, as neighbours of all rows: a vector stands for its k + 1 first copies, and each copy asks for itself."""
+    whole = spare.unionByName(spare.select("kind", F.col("rep").alias("feat_id"), "rep").distinct())
+    # k + 1 copies are picked before the shuffle, so that a hot vector stays small.
+    order = F.row_number().over(Window.partitionBy("kind", "rep").orderBy("feat_id"))
+    first = whole.withColumn("no", order).where(F.col("no") <= k + 1).groupBy("kind", "rep").agg(F.array_sort(F.collect_list("feat_id")).alias("ids"))
+    ids, _ = sized(first, "copies")
+    pairs = best.select("kind", "q", F.explode("t").alias("n")).select("kind", "q", "n.b", (-F.col("n.d")).alias("s"))
+    if least <= 1.0:
+        own = ids.select("kind", F.col("rep").alias("q"), F.col("rep").alias("b"), F.lit(1.0).alias("s"))
+        pairs = pairs.unionByName(own)
+    wide = pairs.join(ids.withColumnRenamed("rep", "b"), ["kind", "b"], "left").select("kind", "q", F.explode(F.coalesce("ids", F.array("b"))).alias("b"), "s")
+    lists = materialize(near(wide), "lists")
+    askers = lists.select("kind", "q", "t").where(F.expr(only.replace("feat_id", "q"))).unionByName(lists.join(spare.where(F.expr(only)).select("kind", F.col("rep").alias("q"), "feat_id"), ["kind", "q"]).select("kind", F.col("feat_id").alias("q"), "t"))
+    return askers.select("kind", "q", F.slice(F.filter("t", lambda n: n["b"] != F.col("q")), 1, k).alias("t"))
+
+
 def alike_pairs(vectors: DataFrame, k: int = 5, least: float = 0.6) -> DataFrame:
     """``feat_a, feat_b``: pairs of which one is among the other's k most similar, and alike."""
     near = nearest(vectors, k, least)

@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prismara.session import materialize, sized
+
 # The kinds told apart by the cache key, and their widths.
 WIDTHS = {"siglip": 1152, "dinov2ms_True": 384, "dinov2ms_False": 1536}
 
-SCHEMA = "kind string, feat_id long, vec binary"
-
 
 def kind_of(ckey):
     """The kind a cache key names, or null. Paths may hold underscores; only prefix and last part count."""
@@ -24,26 +24,21 @@ def kind_of(ckey):
 def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Vectors as packed float32; those with a null, infinite or no non-zero number are dropped."""
     for batch in batches:
-        vec = batch.column(2)
+        vec = batch.column(3)
+        lengths = vec.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False)  # nulls become NaN
         keep, packed = [], []
-        lists = vec.flatten()
-        nulls = lists.null_count
-        lengths = vec.value_lengths().to_numpy(zero_copy_only=False)
-        flat = lists.to_numpy(zero_copy_only=False).astype(np.float32, copy=False)  # nulls become NaN
-        at = 0
-        for i, n in enumerate(lengths.astype(np.int64)):
+        for i, (at, n) in enumerate(zip(np.cumsum(lengths) - lengths, lengths)):
             v = flat[at : at + n]
-            at += n
             if np.isfinite(v).all() and v.any():
                 keep.append(i)
                 packed.append(v.tobytes())
-        del nulls
         index = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), pa.array(packed, pa.binary())], ["kind", "feat_id", "vec"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(index) for c in range(3)), pa.array(packed, pa.binary())], ["kind", "feat_id", "ckey", "vec"])
 
 
 def usable_vectors(cache: DataFrame) -> DataFrame:
-    """``kind, feat_id, vec`` (packed float32) of ``cache(feat_id, ckey, vec)``.
+    """``kind, feat_id, vec`` (packed float32) of ``cache(feat_id, ckey, vec)``, written once.
 
     A vector counts if it is not null, of its kind's width, all finite and not all
     zero; of the usable rows with one ckey that of the smallest ``feat_id`` counts.
@@ -51,13 +46,29 @@ def usable_vectors(cache: DataFrame) -> DataFrame:
     """
     kind = kind_of(F.col("ckey"))
     width = F.when(F.col("kind") == "siglip", WIDTHS["siglip"]).when(F.col("kind") == "dinov2ms_True", WIDTHS["dinov2ms_True"]).otherwise(WIDTHS["dinov2ms_False"])
-    sized = cache.select("ckey", F.col("feat_id").cast("long").alias("feat_id"), F.col("vec").cast("array<float>").alias("vec"), kind.alias("kind")).where(F.col("kind").isNotNull() & F.col("feat_id").isNotNull() & (F.size("vec") == width))
+    sized_ = cache.select(kind.alias("kind"), F.col("feat_id").cast("long").alias("feat_id"), "ckey", F.col("vec").cast("array<float>").alias("vec")).where(F.col("kind").isNotNull() & F.col("feat_id").isNotNull() & (F.size("vec") == width))
+    usable = materialize(sized_.mapInArrow(_pack, "kind string, feat_id long, ckey string, vec binary"), "vectors")
     # The first row of each key is found on the keys alone, so that no vector is shuffled for it.
-    finite = ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vec", lambda x: x != 0)
-    usable = sized.where(finite)
     repeats = usable.groupBy("ckey").agg(F.min("feat_id").alias("keep"), F.count("*").alias("c")).where("c > 1")
-    spare = usable.select("ckey", "feat_id").join(repeats, "ckey").where("feat_id > keep").select("feat_id").distinct()
-    return usable.join(spare, "feat_id", "left_anti").select("kind", "feat_id", "vec").mapInArrow(_pack, SCHEMA)
+    spare, some = sized(usable.select("ckey", "feat_id").join(repeats, "ckey").where("feat_id > keep").select("feat_id").distinct(), "repeated")
+    return (usable.join(spare, "feat_id", "left_anti") if some else usable).select("kind", "feat_id", "vec")
+
+
+def distinct_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct vectors of each kind and their other copies.
+
+    ``kind, feat_id, copies, vec``: the first row of each vector and how many it has;
+    ``kind, feat_id, rep``: the other rows, with the first one. Copies are told by a
+    128-bit digest; vectors are not shuffled unless very many have copies.
+    """
+    keys = vectors.select("kind", "feat_id", F.md5("vec").alias("digest"))
+    repeated = keys.groupBy("kind", "digest").agg(F.min("feat_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    held, some = sized(keys.join(repeated, ["kind", "digest"]).select("kind", "feat_id", "rep", "copies"), "copies")
+    spare = held.where("feat_id <> rep").select("kind", "feat_id", "rep")
+    if not some:
+        return vectors.select("kind", "feat_id", F.lit(1).cast("long").alias("copies"), "vec"), spare
+    marked = vectors.join(held.drop("kind"), "feat_id", "left").where("rep IS NULL OR rep = feat_id")
+    return marked.select("kind", "feat_id", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "vec"), spare
 
 
 def unpack(vecs, width: int | None = None) -> np.ndarray:

@@ -241,29 +241,45 @@ def test_vectors_empty_and_single(spark):
     assert cl.groups(none).count() == 0 and neighbours.alike_pairs(none).count() == 0
 
 
-def test_leaves_blocks_and_large_components(spark, monkeypatch):
-    x = planted([150, 20, 4], 20, seed=4)
-    monkeypatch.setattr(neighbours, "LEAF", 40)
-    monkeypatch.setattr(neighbours, "CAP", 25)
-    monkeypatch.setattr(cl, "LARGE", 100)
-    monkeypatch.setattr(cl, "ROUND_BYTES", 384 * 4 * 40)
+def test_pages_of_any_size_give_the_same(spark, monkeypatch):
+    """One page, small pages, several tiers of trees, and pages above LARGE."""
+    x = planted([150, 20, 9, 4, 3], 60, seed=4)
+    x[11] = x[12] = x[13]
+    x[20:24] = planted([], 1, seed=77)[0]  # copies alone are a group
     v = usable_vectors(cache(spark, x))
-    assert {tuple(r) for r in cl.groups(v).collect()} == true_groups(x)
-    got, want = {tuple(r) for r in neighbours.alike_pairs(v).collect()}, true_pairs(x)
-    assert len(got & want) >= 0.97 * len(want)
-
-
-def test_large_component_checks_outer_rows(spark):
-    x = planted([60], 0, seed=6, spread=0.75)  # members are alike, but far from their centre
-    rows = usable_vectors(cache(spark, x)).select("kind", F.lit("0L").alias("node"), "feat_id", "vec")
-    got = cl._large_members(rows, 0.6).collect()
-    s = unit(x) @ unit(x).T >= 0.6
-    linked = s.sum(1) > 1
-    assert all(r["is_group"] == bool(s[np.ix_(linked, linked)].all()) for r in got)
+    want, pairs = true_groups(x), true_pairs(x)
+    for sizes in ({}, {"LEAF": 40}, {"LEAF": 20, "SAMPLE": 48, "WIDE": 30, "CAP": 25}, {"LARGE": 100}):
+        for name, n in sizes.items():
+            monkeypatch.setattr(cl if name == "LARGE" else neighbours, name, n)
+        assert {tuple(r) for r in cl.groups(v).collect()} == want, sizes
+        if "LARGE" in sizes:
+            continue
+        got = {tuple(r) for r in neighbours.alike_pairs(v).collect()}
+        assert len(got & pairs) >= 0.97 * len(pairs), sizes
+
+
+def test_mixture_decides(spark, monkeypatch):
+    """Without components there is no group, whatever the links."""
+    x = planted([9, 20, 4], 20, seed=5)
+    u = unit(x).astype(np.float32)
+    alike = cl.alike_matrix(u, x, 0.6)
+    parts, grouped = cl.leaf_components(u, alike, np.ones(len(x), int))
+    assert sorted(len(p) for p, g in zip(parts, grouped) if g) == [4, 9, 20]
+    monkeypatch.setattr(cl, "_components", lambda u, charge, ridge: [np.array([i]) for i in range(len(u))])
+    assert not any(cl.leaf_components(u, alike, np.ones(len(x), int))[1])
+
+
+def test_links_of_large_pages(spark, monkeypatch):
+    monkeypatch.setattr(cl, "ROUND_BYTES", 384 * 4 * 40)
+    x = planted([60], 5, seed=6, spread=0.75)  # members are alike, but far from their centre
+    rows = usable_vectors(cache(spark, x)).select("kind", F.lit("0").alias("node"), "feat_id", "vec")
+    got = {r["feat_id"]: (r["links"], r["code"]) for r in cl._links(rows, 0.6).collect()}
+    own, s = cl.own_codes(np.arange(1, len(x) + 1)), unit(x) @ unit(x).T >= 0.6
+    assert got == {i + 1: (int(s[i].sum()), int(np.bitwise_xor.reduce(own[s[i]]))) for i in range(len(x))}
 
 
-def test_large_leaf_keeps_small_groups(spark, monkeypatch):
-    """A group above LARGE, smaller groups, a chain that is none and single rows, all in one leaf."""
+def test_large_page_keeps_small_groups(spark, monkeypatch):
+    """A group above LARGE, smaller groups, a chain that is none and single rows, all in one page."""
     monkeypatch.setattr(cl, "LARGE", 60)
     monkeypatch.setattr(cl, "ROUND_BYTES", 384 * 4 * 50)
     x = planted([90, 70, 5, 3], 40, seed=8)
@@ -279,9 +295,8 @@ def test_large_leaf_keeps_small_groups(spark, monkeypatch):
     assert {90, 70, 5, 3} <= {r["size"] for r in found}
 
 
-def test_large_leaf_of_rows_that_no_tree_divides(spark, monkeypatch):
-    """Copies that are no group, as a row alike to them is alike to another one."""
-    monkeypatch.setattr(cl, "LARGE", 30)
+def test_copies_that_are_no_group(spark):
+    """A row alike to them is alike to another one."""
     a, b = (v / np.linalg.norm(v) for v in np.random.default_rng(3).standard_normal((2, 384)))
     x = np.concatenate([np.repeat(a[None], 50, axis=0), [0.75 * a + 0.75 * b, b]]).astype(np.float32)
     v = usable_vectors(cache(spark, x))
@@ -289,14 +304,14 @@ def test_large_leaf_of_rows_that_no_tree_divides(spark, monkeypatch):
     assert sum(r["size"] for r in cl.clusters(v).collect()) == len(x)
 
 
-def test_rest_of_large_leaf_is_divided(spark, monkeypatch):
+def test_rest_of_large_page_is_divided(spark, monkeypatch):
     monkeypatch.setattr(cl, "LARGE", 60)
-    monkeypatch.setattr(neighbours, "LEAF", 20)
+    monkeypatch.setattr(cl, "LEAF", 20)
     x = planted([8] * 10, 120, seed=9)
-    rows = usable_vectors(cache(spark, x)).select("kind", F.lit("0L").alias("node"), "feat_id", "vec")
+    rows = usable_vectors(cache(spark, x)).select("kind", F.lit("0").alias("page"), F.lit("0").alias("node"), "feat_id", F.lit(1).cast("long").alias("copies"), "vec", F.lit(True).alias("member"), F.lit(0.0).alias("density"))
     got = cl._divided(rows).collect()
     assert sorted(r["feat_id"] for r in got) == list(range(1, len(x) + 1))
-    assert len({r["node"] for r in got}) > 3 and {r["kind"] for r in got} == {"dinov2ms_True"} and not any(r["is_group"] for r in got)
+    assert len({r["node"] for r in got}) > 3 and {r["kind"] for r in got} == {"dinov2ms_True"}
     assert max(Counter(r["node"] for r in got).values()) <= 60
 
 
