@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 _fallback: dict[str, str] = {}
@@ -54,6 +55,13 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, name: str, most: int = 100_000) -> tuple[DataFrame, int]:
+    """``df``, written, and its number of rows; up to ``most`` rows it is marked to be broadcast, beyond that joins shuffle it."""
+    written = materialize(df, name)
+    rows = written.count()
+    return (F.broadcast(written) if rows <= most else written), rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables in ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
