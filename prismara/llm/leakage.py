@@ -2,15 +2,18 @@
 
 Every word is canonicalised on its own: numbers, units and names become typed
 placeholders, so equal word windows always have equal templates. Windows of both
-sides meet in a hash join on their template; then slots are checked: equal words are
-an exact leak, a consistent one-to-one replacement within each type is a
-re-parameterised one. Exact leaks are therefore never lost.
+sides meet in a hash join on their template; then slots are checked. Equal words are
+an exact leak, so exact leaks are never lost. A re-parameterised one is an occurrence (windows
+of one item at one distance in the text) in which each word of the item is replaced by one
+word of its type and no two by the same, over all its windows together, at least one is
+replaced, and the template has enough plain words of its own: ``PLAIN`` and half of its width.
 
 Names are words that the evaluation texts write with a capital, and not first in a
-sentence, every time; more than ``max_names`` are not sent to the tasks but joined to
+sentence, every time; texts that write over ``NOUNS`` of their words so (as German does with
+all nouns) and scripts without capitals tell no names. More than ``max_names`` are not sent to the tasks but joined to
 the texts by word. The corpus is filtered by a sorted array of the items' window
-hashes while that has at most ``max_filter`` entries (8 bytes each); beyond it all
-windows of the corpus go to the join.
+hashes while that has at most ``max_filter`` entries (8 bytes each); beyond it the hashes
+of the corpus' windows are joined with the items' first, and only those that meet carry words.
 
 Defined cases: null, empty and wordless texts have no window; items of fewer than
 ``width`` words count as a whole; repeated documents are found each; null ids are
@@ -33,18 +36,24 @@ from prismara.session import materialize
 
 WIDTH = 12
 MAX_FILTER, MAX_NAMES = 2_000_000, 100_000
+#: Plain words that a template needs to tell a re-parameterised leak, and the share of capitals above which a text tells no names.
+PLAIN, NOUNS = 4, 0.25
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _DIGITS = regex.compile(r"\p{N}+")
 _SENTENCE = regex.compile(r"[.!?:\n]\s*\P{L}*$|^\P{L}*$")
 
-# Number words and units of measure.
+# Number words and units of measure. A unit may stand at the end of a number ("20px"); signs such as % are no words.
 NUMBER_WORDS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand "
     "null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn zwanzig dreißig hundert tausend "
     "zéro deux trois quatre cinq sept huit neuf dix onze douze treize vingt trente cent mille "
-    "cero uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece veinte treinta cien mil".split()
+    "cero uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece veinte treinta cien mil "
+    "due tre quattro cinque sei sette otto nove dieci undici dodici venti trenta cento "
+    "dois três quatro sete oito dez doze vinte trinta cem "
+    "ноль один два три четыре пять шесть семь восемь девять десять двенадцать двадцать тридцать сто тысяча".split()
 )
-UNITS = frozenset("px pixel pixels mm cm m km g kg mg s ms min h kb mb gb tb kib mib gib hz khz mhz ghz dpi fps v w kw ml l € $ £ % °".split())
+UNITS = frozenset("px pixel pixels mm cm m km g kg mg s ms min h kb mb gb tb kib mib gib hz khz mhz ghz dpi fps v w kw ml l".split())
+_WITH_UNIT = regex.compile(r"\p{N}+(" + "|".join(sorted(UNITS)) + ")")
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -63,6 +72,8 @@ class Canon(NamedTuple):
     def __call__(self, word: str) -> str:
         if word in NUMBER_WORDS or _DIGITS.fullmatch(word):
             return "<number>"
+        if _WITH_UNIT.fullmatch(word):
+            return "<number><unit>"
         if word in UNITS:
             return "<unit>"
         return "<name>" if word in self.names else word
@@ -98,11 +109,14 @@ def name_table(items: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for text in batch["text"]:
+                own = []
                 for m in _WORD.finditer(text) if isinstance(text, str) else ():
                     w = m.group()
-                    first = bool(_SENTENCE.search(text[max(0, m.start() - 12) : m.start()]))
-                    capital = w[0].isupper() and not w.isupper()
-                    rows.append((w.lower(), 0 if first else int(capital), 0 if first else int(not capital)))
+                    if _SENTENCE.search(text[max(0, m.start() - 12) : m.start()]):
+                        continue
+                    own.append((w.lower(), int(w[0].isupper() and not w.isupper())))
+                nouns = sum(c for _, c in own) > NOUNS * len(own)
+                rows += [(w, 0 if nouns else c, 0 if nouns else 1 - c) for w, c in own]
             yield pd.DataFrame(rows, columns=["word", "upper", "other"])
 
     seen = items.select("text").mapInPandas(spans, "word string, upper long, other long").groupBy("word").agg(F.sum("upper").alias("upper"), F.sum("other").alias("other"))
@@ -128,7 +142,7 @@ def _own_names(texts: DataFrame, names: DataFrame) -> DataFrame:
     return numbered.join(held.groupBy("row").agg(F.collect_list("word").alias("names")), "row", "left").drop("row")
 
 
-WINDOW = "id long, width int, template long, words array<string>"
+WINDOW = "id long, width int, template long, pos int, plain int, words array<string>"
 
 
 def _windows(id_column: str, canon: Canon, widths: list[int] | None, keep: dict[int, np.ndarray] | None, width: int):
@@ -144,7 +158,8 @@ def _windows(id_column: str, canon: Canon, widths: list[int] | None, keep: dict[
                 words = words_of(text) if isinstance(text, str) else []
                 if not words:
                     continue
-                h = _hashes(words, canon if own is None else Canon(frozenset(own)), known)
+                own_canon = canon if own is None else Canon(frozenset(own))
+                h = _hashes(words, own_canon, known if own is None else {})
                 for w in [min(width, len(words))] if widths is None else widths:
                     rolled = rolling(h, w)
                     at = np.arange(len(rolled))
@@ -152,7 +167,9 @@ def _windows(id_column: str, canon: Canon, widths: list[int] | None, keep: dict[
                         sorted_ = keep[w]
                         found = np.minimum(np.searchsorted(sorted_, rolled), len(sorted_) - 1)
                         at = np.flatnonzero(sorted_[found] == rolled)
-                    rows += [(key, w, int(t), words[i : i + w]) for i, t in zip(at.tolist(), rolled[at].view(np.int64).tolist())]
+                    if len(at):
+                        plain = np.concatenate([[0], np.cumsum([own_canon(x) == x for x in words])])
+                        rows += [(key, w, int(t), i, int(plain[i + w] - plain[i]), words[i : i + w]) for i, t in zip(at.tolist(), rolled[at].view(np.int64).tolist())]
                     if len(rows) > 50_000:
                         yield _frame(rows)
                         rows = []
@@ -160,7 +177,7 @@ def _windows(id_column: str, canon: Canon, widths: list[int] | None, keep: dict[
                 yield _frame(rows)
 
     def _frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["id", "width", "template", "words"]).astype({"id": "Int64"})
+        return pd.DataFrame(rows, columns=["id", "width", "template", "pos", "plain", "words"]).astype({"id": "Int64"})
 
     return run
 
@@ -173,22 +190,42 @@ def leaks(documents: DataFrame, items: DataFrame, width: int = WIDTH, max_filter
     texts = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
     if few is None:
         texts = _own_names(texts, names)
-    own = materialize(texts.mapInPandas(_windows("item_id", canon, None, None, width), WINDOW).distinct(), "items")
+    own = materialize(texts.mapInPandas(_windows("item_id", canon, None, None, width), WINDOW), "items")
     widths = sorted(r["width"] for r in own.select("width").distinct().collect())  # at most `width` values
+    hashes = own.select("width", "template").distinct()
     keep = None
-    if own.count() <= max_filter:
+    if hashes.limit(max_filter + 1).count() <= max_filter:
         keep = {}
-        for w, t in own.select("width", "template").distinct().collect():
+        for w, t in hashes.collect():
             keep.setdefault(w, []).append(t)
         keep = {w: np.sort(np.array(t, np.int64).view(np.uint64)) for w, t in keep.items()}
     corpus = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if few is None:
         corpus = _own_names(corpus, names)
-    found = corpus.mapInPandas(_windows("doc_id", canon, widths, keep, width), WINDOW).distinct()
-    pairs = found.select(F.col("id").alias("doc_id"), "width", "template", F.col("words").alias("there")).join(own.withColumnRenamed("id", "item_id"), ["width", "template"])
-    slots = F.filter(F.arrays_zip("there", "words"), lambda p: p["there"] != p["words"])
-    distinct = F.size(F.array_distinct(F.transform(F.arrays_zip("there", "words"), lambda p: F.struct(p["there"], p["words"]))))
-    consistent = (distinct == F.size(F.array_distinct("there"))) & (distinct == F.size(F.array_distinct("words")))
-    kind = F.when(F.col("there") == F.col("words"), "exact").when((F.size(slots) > 0) & consistent, "reparameterised")
-    checked = pairs.withColumn("kind", kind).where("kind IS NOT NULL")
-    return checked.groupBy("doc_id", "item_id", "kind").agg(F.count("*").alias("windows"))
+    if keep is None:
+        corpus = _that_meet(corpus, hashes, canon, widths, width)
+    found = corpus.mapInPandas(_windows("doc_id", canon, widths, keep, width), WINDOW).select(F.col("id").alias("doc_id"), "width", "template", F.col("pos").alias("at"), F.col("words").alias("there"))
+    pairs = found.join(own.withColumnRenamed("id", "item_id"), ["width", "template"])
+    exact = F.col("there") == F.col("words")
+    alike = pairs.select("doc_id", "item_id", "pos", F.when(exact, "exact").otherwise("reparameterised").alias("kind"), (F.col("at") - F.col("pos")).alias("distance"), "width", "plain", F.arrays_zip("there", "words").alias("slots"))
+    same = alike.where("kind = 'exact'").groupBy("doc_id", "item_id", "kind").agg(F.count_distinct("pos").alias("windows"))
+    # An occurrence has at most as many windows as its item. Windows without a change count for its consistency, too.
+    whole = alike.groupBy("doc_id", "item_id", "distance").agg(F.flatten(F.collect_list("slots")).alias("slots"), F.collect_set(F.when((F.col("kind") != "exact") & (F.col("plain") >= F.greatest(F.lit(PLAIN), F.col("width") / 2)), F.col("pos"))).alias("changed"))
+    pair = F.array_distinct("slots")
+    one_to_one = (F.size(pair) == F.size(F.array_distinct(F.transform("slots", lambda p: p["there"])))) & (F.size(pair) == F.size(F.array_distinct(F.transform("slots", lambda p: p["words"]))))
+    other = whole.where((F.size("changed") > 0) & one_to_one).select("doc_id", "item_id", F.explode("changed").alias("pos"))
+    return same.unionByName(other.groupBy("doc_id", "item_id").agg(F.count_distinct("pos").alias("windows")).select("doc_id", "item_id", F.lit("reparameterised").alias("kind"), "windows"))
+
+
+def _that_meet(corpus: DataFrame, hashes: DataFrame, canon: Canon, widths: list[int], width: int) -> DataFrame:
+    """The texts of which some window's hash is one of ``hashes``; hashes alone are shuffled."""
+    numbered = materialize(corpus.withColumn("row", F.monotonically_increasing_id()), "corpus")
+    run = _windows("doc_id", canon, widths, None, width)
+
+    def slim(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in run([batch.assign(doc_id=batch["row"])]):
+                yield part[["id", "width", "template"]].drop_duplicates()
+
+    met = numbered.drop("doc_id").withColumn("doc_id", F.col("row")).mapInPandas(slim, "id long, width int, template long").join(hashes, ["width", "template"], "left_semi").select(F.col("id").alias("row")).distinct()
+    return numbered.join(met, "row", "left_semi").drop("row")

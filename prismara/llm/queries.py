@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismara.llm.clusters import clusters, groups
-from prismara.llm.cooccur import PairTable
+from prismara.llm.cooccur import PairTable, at_least
 from prismara.llm.garbled import garbled_documents, learned_mapping, restored_documents
 from prismara.llm.leakage import leaks
 from prismara.llm.neighbours import alike_pairs, nearest
@@ -36,7 +36,7 @@ def _pair_table(spark: SparkSession, sf_dir: str) -> PairTable:
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of tags that at least 4 images share, at least 3 times as often as by chance."""
     scores = _pair_table(spark, sf_dir).scores()
-    return scores.where((F.col("n") >= 4) & (F.col("n") * F.col("total") >= 3 * F.col("n_a") * F.col("n_b"))).select(F.col("a").alias("tag_a"), F.col("b").alias("tag_b"))
+    return scores.where((F.col("n") >= 4) & at_least(F.col("n"), F.col("total"), F.col("n_a"), F.col("n_b"), 3)).select(F.col("a").alias("tag_a"), F.col("b").alias("tag_b"))
 
 
 def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,10 +47,42 @@ def test_pair_table_is_incremental(spark):
         assert scores == pytest.approx({(a, b): n * len(state) / (items[a] * items[b]) for (a, b), n in pairs.items()})
         some = {(r["a"], r["b"]) for r in table.scores(hit).collect()}
         assert some <= set(scores)
+        if batch == 1:  # a later session goes on with the table
+            table = PairTable(spark, path=table.path)
     assert table.apply(rows).count() == 0
+    table.vacuum()
+    again = PairTable(spark, path=table.path)
+    assert again.total == len(state) and {(r["a"], r["b"]): r["n"] for r in again.pairs().collect()} == dict(pairs)
     assert PairTable(spark).apply(rows.where("false")).count() == 0
 
 
+def test_small_batches_rewrite_little(spark, monkeypatch):
+    from prismara.llm import cooccur
+
+    monkeypatch.setattr(cooccur, "ROWS", 50)
+    rng = random.Random(4)
+    baskets = {i: rng.sample([f"t{k}" for k in range(120)], 8) for i in range(300)}
+    table = PairTable(spark, buckets=4)
+    table.apply(spark.createDataFrame(list(baskets.items()), "id long, items array<string>"))
+    assert table.buckets["pairs"] >= 64
+    before = dict(table.at["pairs"])
+    table.apply(spark.createDataFrame([(1, ["t1", "t2", "new"])], "id long, items array<string>"))
+    baskets[1] = ["t1", "t2", "new"]
+    items, pairs = counted(baskets)
+    assert {(r["a"], r["b"]): r["n"] for r in table.pairs().collect()} == dict(pairs)
+    changed = sum(before.get(b) != p for b, p in table.at["pairs"].items())
+    assert changed <= 31 < len(before)  # 28 pairs go, 3 come
+
+
+def test_large_counts(spark):
+    from prismara.llm.cooccur import at_least
+
+    rows = [(6 * 10**9, 2 * 10**9, 10**9, 4 * 10**9), (6 * 10**9 - 1, 2 * 10**9, 10**9, 4 * 10**9), (9, 10, 5, 6), (8, 10, 5, 6), (10, 10, 5, 6)]
+    t = spark.createDataFrame(rows, "n long, total long, n_a long, n_b long")
+    got = [r[0] for r in t.select(at_least(F.col("n"), F.col("total"), F.col("n_a"), F.col("n_b"), 3)).collect()]
+    assert got == [n * total >= 3 * a * b for n, total, a, b in rows]
+
+
 def test_tags(spark):
     t = spark.createDataFrame([(" A \t_b__C ",), ("\t",), (None,), ("_x",)], "t string").select(normal_tag(F.col("t")).alias("n"))
     assert [r["n"] for r in t.collect()] == ["a_b_c", "", None, "_x"]
@@ -145,6 +177,17 @@ def test_reparameterised(spark):
     assert not any(d == 3 and k == "reparameterised" for d, k in got)
 
 
+def test_slots_over_all_windows(spark):
+    """Bare numbers leak nothing; replacements must agree over the whole of an occurrence."""
+    item = "Then two boats leave the port with seven sailors each and later two more boats come back with nine sailors"
+    good, bad = item.replace("two", "four"), item.replace("two", "four", 1).replace("two", "six")
+    docs = [(1, "see page 9 of 12"), (2, "before " + good), (3, bad), (4, "Es sind 20px breit oder 9"), (5, item.replace("boats", "ships"))]
+    items = [(1, "42"), (2, item), (3, "two 7px"), (4, None)]
+    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert (2, 2, "reparameterised") in got and not any(d in (1, 3, 4, 5) and k != "exact" for d, _, k in got)
+    assert not any(i in (1, 3) for _, i, _ in got)
+
+
 def test_many_names(spark):
     """Names are placeholders whether they are sent or joined."""
     item = "Here the cook Anna gives her friend Peter some red apples and then Anna goes home again"
