@@ -6,6 +6,10 @@ a zero vector stays zero when normalised.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,6 +46,33 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.greatest(norm(a), F.lit(EPS)) * F.greatest(norm(b), F.lit(EPS)))
 
 
+def products(v: Column, others: Sequence[Sequence[float]], cosines: bool = False) -> Column:
+    """Dot products (or cosines) of ``v`` with a few fixed vectors, as an array: one matrix product per Arrow batch."""
+    widths = [len(o) for o in others]
+    made = [np.asarray(o, float) for o in others]
+    if cosines:
+        made = [o / max(float(np.linalg.norm(o)), EPS) for o in made]
+
+    @F.pandas_udf("array<double>")
+    def run(vec: pd.Series) -> pd.Series:
+        out: list = [None] * len(vec)
+        size = np.array([-1 if x is None else len(x) for x in vec])
+        for w in np.unique(size[size >= 0]):
+            rows = np.flatnonzero(size == w)
+            x = np.stack([vec.iloc[i] for i in rows]).astype(float) if w else np.zeros((len(rows), 0))
+            if cosines and w:
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), EPS)
+            fits = [k for k, n in enumerate(widths) if n == w]
+            made_here = np.full((len(rows), len(widths)), np.nan)
+            if fits:
+                made_here[:, fits] = x @ np.stack([made[k] for k in fits]).T if w else 0.0
+            for i, row in zip(rows, made_here):
+                out[i] = row
+        return pd.Series(out)
+
+    return F.transform(run(as_double(v)), lambda x: F.nanvl(x, F.lit(None).cast("double")))
+
+
 def euclidean(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.sqrt(_sum(F.zip_with(as_double(a), as_double(b), lambda x, y: (x - y) * (x - y)))))
 

@@ -17,7 +17,6 @@ each other by ``file_id``; an empty table gives an empty report.
 from __future__ import annotations
 
 import hashlib
-import json
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
@@ -28,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismara.functions.jsonio import as_text, clean, strict_loads
+from prismara.functions.jsonio import as_text, clean, dumps, strict_loads
 from prismara.plans.adjacent import with_previous
 from prismara.session import materialize
 
@@ -81,7 +80,7 @@ def records_of(body: str | None) -> list[tuple[str | None, dict]]:
 
 
 def _hash(value: Any) -> int:
-    text = json.dumps(value, sort_keys=True, ensure_ascii=True)
+    text = dumps(value, sort_keys=True, ensure_ascii=True)
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big", signed=True)
 
 

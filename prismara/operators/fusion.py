@@ -99,3 +99,50 @@ def map_model(images: DataFrame, load, infer, schema: str, columns: list[str]) -
             yield infer(model, batch)
 
     return images.select(*columns).mapInPandas(run, schema)
+
+
+def map_vectors(images: DataFrame, load, embed, columns: list[str], out: str = "vec") -> DataFrame:
+    """An embedder of images or texts: ``embed(model, pandas batch)`` gives one vector (or None) per row, in order."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in images.select(*columns).schema) + f", `{out}` array<float>"
+
+    def infer(model, batch: pd.DataFrame) -> pd.DataFrame:
+        return batch.assign(**{out: [None if v is None else np.asarray(v, np.float32) for v in embed(model, batch)]})
+
+    return map_model(images, load, infer, schema, columns)
+
+
+def map_tags(images: DataFrame, load, tag, columns: list[str], key: str = "image_id") -> DataFrame:
+    """A tagger: ``tag(model, pandas batch)`` gives a list of (tag, tag_idx, category, score) per row; one row comes out per tag."""
+
+    def infer(model, batch: pd.DataFrame) -> pd.DataFrame:
+        rows = [(k, t, int(i), int(c), float(s)) for k, found in zip(batch[key], tag(model, batch)) for t, i, c, s in found]
+        return pd.DataFrame(rows, columns=[key, "tag", "tag_idx", "category", "score"])
+
+    return map_model(images, load, infer, f"`{key}` long, tag string, tag_idx int, category int, score double", columns)
+
+
+def map_logits(images: DataFrame, load, classify, labels: list[str], columns: list[str], key: str = "image_id", out: str = "label") -> DataFrame:
+    """A classifier: ``classify(model, pandas batch)`` gives logits per row; ``{out}`` and ``{out}_confidence`` come out.
+
+    A batch that runs out of memory is tried again row by row; rows that fail then have a null label.
+    """
+
+    def infer(model, batch: pd.DataFrame) -> pd.DataFrame:
+        try:
+            logits = list(classify(model, batch))
+        except MemoryError:
+            logits = []
+            for i in range(len(batch)):
+                try:
+                    logits += list(classify(model, batch.iloc[i : i + 1]))
+                except MemoryError:
+                    logits.append(None)
+        names, sure = [], []
+        for row in logits:
+            x = None if row is None else np.asarray(row, float)
+            share = None if x is None else np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+            names.append(None if x is None else labels[int(x.argmax())])
+            sure.append(None if x is None else float(share.max()))
+        return pd.DataFrame({key: batch[key], out: names, f"{out}_confidence": sure})
+
+    return map_model(images, load, infer, f"`{key}` long, `{out}` string, `{out}_confidence` double", columns)

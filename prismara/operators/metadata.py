@@ -47,13 +47,13 @@ def image_metadata(scores: DataFrame, tags_per_image: int = 30) -> DataFrame:
     return rated.join(listed, "image_id", "left").select("image_id", "rating", of("general"), of("character"), of("mature"), scored, F.coalesce(F.exists("t", lambda s: s["kind"] == "mature"), F.lit(False)).alias("has_mature"))
 
 
-def folder_metadata(assigned: DataFrame, scores: DataFrame, per_folder: int = 20, tags_per_image: int = 30, seed: int = 42) -> DataFrame:
-    """``folder, total_images, sampled, images, has_mature``: a folder's document; ``images`` is bounded by ``per_folder``.
+def folder_metadata(assigned: DataFrame, scores: DataFrame, per_folder: int = 0, tags_per_image: int = 30, seed: int = 42) -> DataFrame:
+    """``folder, total_images, sampled, images, has_mature``: a folder's document; of at most ``per_folder`` images, 0 for all.
 
     ``assigned(image_id, folder, path)``; an empty folder is ``root``. Images are keyed
-    by file name, or by their whole path where names clash in the sample. With
-    ``per_folder`` 0 a document holds its whole folder; use ``image_rows`` where folders
-    may be too large for one row.
+    by file name, or by their whole path where names clash in the sample. A document holds
+    its whole folder by default; ``image_rows`` and ``write_image_rows`` suit folders that
+    are too large for one row.
     """
     rows = image_rows(assigned, scores, per_folder, tags_per_image, seed)
     totals = assigned.groupBy(F.coalesce(F.nullif("folder", F.lit("")), F.lit("root")).alias("folder")).agg(F.count("*").alias("total_images"))
@@ -62,7 +62,7 @@ def folder_metadata(assigned: DataFrame, scores: DataFrame, per_folder: int = 20
     return totals.join(made, "folder").select("folder", "total_images", "sampled", "images", "has_mature")
 
 
-def image_rows(assigned: DataFrame, scores: DataFrame, per_folder: int = 20, tags_per_image: int = 30, seed: int = 42) -> DataFrame:
+def image_rows(assigned: DataFrame, scores: DataFrame, per_folder: int = 0, tags_per_image: int = 30, seed: int = 42) -> DataFrame:
     """One row per sampled image with its folder, its name there, and its metadata or ``error``."""
     named = assigned.select("image_id", F.coalesce(F.nullif("folder", F.lit("")), F.lit("root")).alias("folder"), "path")
     sample = folder_sample(named, per_folder, seed).withColumn("base", basename(F.col("path")))
@@ -78,6 +78,12 @@ def write_metadata(documents: DataFrame, path: str) -> None:
     documents.select(F.col("folder").alias("to_folder"), body.alias("value")).write.mode("overwrite").partitionBy("to_folder").text(path)
 
 
+def write_image_rows(rows: DataFrame, path: str) -> None:
+    """One line of JSON per image below its folder, for folders of any size; nothing is gathered."""
+    entry = F.to_json(F.struct("name", "rating", "general_tags", "character_tags", "mature_tags", "all_scores", "error"))
+    rows.select(F.col("folder").alias("to_folder"), entry.alias("value")).write.mode("overwrite").partitionBy("to_folder").text(path)
+
+
 def placement_plan(assigned: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """``path, target``: where each file goes; clashing names get ``_1``, ``_2``, ...
 
@@ -98,10 +104,16 @@ def placement_plan(assigned: DataFrame, existing: DataFrame | None = None) -> Da
     again = ranked.where("k > 0").select("path", "dir", "name", "stem", "ext", "k")
     # Numbers of a name that are taken already, as stem_number.ext of some other name.
     numbered = taken.withColumn("base", F.regexp_extract("name", r"(?s)^(.*)_[1-9][0-9]*(\.[^.]*)?$", 1)).withColumn("no", F.regexp_extract("name", r"(?s)_([1-9][0-9]*)(\.[^.]*)?$", 1).try_cast("int")).withColumn("e", extension(F.col("name")))
-    used = numbered.where("no IS NOT NULL").groupBy("dir", F.col("base").alias("stem"), F.col("e").alias("ext")).agg(F.array_sort(F.collect_set("no")).alias("used"))
-    joined = again.join(used, ["dir", "stem", "ext"], "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>")))
-    # The k-th free number: every taken number at or below it moves it up by one.
-    number = F.aggregate("used", F.col("k"), lambda n, u: F.when(u <= n, n + 1).otherwise(n))
+    # The k-th free number is k plus the taken numbers u_1 < u_2 < ... with u_i - (i - 1) <= k: one sort of both, no list per row.
+    same = Window.partitionBy("dir", "stem", "ext")
+    used = numbered.where("no IS NOT NULL").select("dir", F.col("base").alias("stem"), F.col("e").alias("ext"), "no").distinct()
+    used = used.withColumn("at", F.col("no") - F.row_number().over(same.orderBy("no")) + 1)
+    asked = again.join(used.select("dir", "stem", "ext").distinct(), ["dir", "stem", "ext"], "left_semi")
+    both = asked.select("dir", "stem", "ext", "path", F.col("k").alias("at"), F.lit(1).alias("asks")).unionByName(used.select("dir", "stem", "ext", F.lit(None).cast("string").alias("path"), "at", F.lit(0).alias("asks")))
+    below = F.sum(1 - F.col("asks")).over(same.orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0))
+    shifted = both.withColumn("below", below).where("asks = 1").select("path", "dir", "stem", "ext", (F.col("at") + F.col("below")).alias("number"))
+    free = again.join(used.select("dir", "stem", "ext").distinct(), ["dir", "stem", "ext"], "left_anti").select("path", "dir", "stem", "ext", F.col("k").alias("number"))
+    joined, number = shifted.unionByName(free), F.col("number")
     moved = joined.select("path", "dir", F.concat("stem", F.lit("_"), number.cast("string"), "ext").alias("final"))
     return keep.unionByName(moved).select("path", F.concat_ws("/", F.nullif("dir", F.lit("")), "final").alias("target"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismara.functions.text import safe_name, spoken
+from prismara.plans.adjacent import with_rank
 from prismara.schema import CHARACTER, GENERIC_TAGS, NAMELESS_TAGS, RATING
 from prismara.session import materialize
 
@@ -74,8 +75,12 @@ def cluster_names(members: DataFrame, scores: DataFrame) -> DataFrame:
     ordered = Window.partitionBy("base_name").orderBy("cluster_id")
     shared = base.withColumn("k", F.row_number().over(ordered)).withColumn("same", F.count("*").over(Window.partitionBy("base_name")))
     own = shared.where("same > 1").join(tfidf, "cluster_id").withColumn("clean", spoken(F.col("tag"))).where(~F.contains("base_name", "clean"))
-    others = shared.where("same > 1").select(F.col("cluster_id").alias("other"), "base_name").join(tfidf.select(F.col("cluster_id").alias("other"), "tag", F.col("avg_score").alias("theirs")), "other")
-    clash = own.join(others, ["base_name", "tag"]).where((F.col("other") != F.col("cluster_id")) & (F.col("theirs") > F.col("tfidf") * 0.5)).select("cluster_id", "tag").distinct()
+    # Of each name and tag the two greatest averages tell the greatest of the others, so no cluster meets all others of its name.
+    averages = shared.where("same > 1").select("cluster_id", "base_name").join(tfidf.select("cluster_id", "tag", "avg_score"), "cluster_id")
+    top = averages.groupBy("base_name", "tag").agg(F.max(F.struct("avg_score", "cluster_id")).alias("top"))
+    second = averages.join(top, ["base_name", "tag"]).where("cluster_id <> top.cluster_id").groupBy("base_name", "tag").agg(F.max("avg_score").alias("second"))
+    theirs = F.when(F.col("top.cluster_id") == F.col("cluster_id"), F.col("second")).otherwise(F.col("top.avg_score"))
+    clash = own.join(top, ["base_name", "tag"]).join(second, ["base_name", "tag"], "left").where(theirs > F.col("tfidf") * 0.5).select("cluster_id", "tag")
     apart = own.join(clash, ["cluster_id", "tag"], "left_anti")
     extra = apart.groupBy("cluster_id").agg(F.min_by("clean", F.struct((-F.col("tfidf")).alias("t"), "tag_idx", "tag")).alias("extra"))
     joined = shared.join(extra, "cluster_id", "left")
@@ -106,10 +111,10 @@ def top_tags(scores: DataFrame, n: int = 30) -> DataFrame:
 
 def sampled_members(members: DataFrame, most: int = 10) -> DataFrame:
     """Members at every step-th place, the first ``most`` of them; step = max(1, members // most)."""
-    w = Window.partitionBy("cluster_id")
-    placed = members.withColumn("at", F.row_number().over(w.orderBy("ord")) - 1).withColumn("n", F.count("*").over(w))
+    sizes = members.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    placed = with_rank(members, ["cluster_id"], ["ord", "image_id"]).withColumn("at", F.col("rank") - 1).join(sizes, "cluster_id")
     step = F.greatest(F.lit(1), F.floor(F.col("n") / most))
-    return placed.where((F.col("at") % step == 0) & (F.col("at") / step < most)).drop("at")
+    return placed.where((F.col("at") % step == 0) & (F.col("at") / step < most)).drop("at", "rank")
 
 
 def coherence(members: DataFrame, scores: DataFrame) -> DataFrame:

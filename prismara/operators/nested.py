@@ -10,7 +10,7 @@ Defined cases: a null, empty or invalid body gives no row; a valid body that hol
 no folder gives none; entries that are not objects are no images; a tag list that
 is not a list gives no tags; null elements keep their place but give no row; a
 missing ``folder`` is null; copies of a file collapse; extra columns of the input
-are ignored. Bodies nested deeper than the JSON parser's stack count as invalid.
+are ignored. Bodies of any depth are read.
 """
 
 from __future__ import annotations
@@ -59,13 +59,43 @@ class ShapeAutomaton:
 
     LEAVES = ((type(None), "null"), (bool, "bool"), (int, "number"), (float, "number"), (str, "string"))
 
+    def leaf_state(self, value: Any) -> str | None:
+        return next((state for kind, state in self.LEAVES if isinstance(value, kind)), None)
+
     def run(self, value: Any) -> str:
-        for kind, state in self.LEAVES:
-            if isinstance(value, kind):
-                return state
-        if isinstance(value, list):
-            return self.list_state({self.run(x) for x in value})
-        return self.object_state({k: self.run(v) for k, v in value.items()})
+        """The state of ``value``; containers whose children are not done wait on a list, as nesting is unbounded."""
+        state = self.leaf_state(value)
+        if state is not None:
+            return state
+        # Each entry: container, iterator of its (key, child), states of the children so far, key of the child that is open.
+        open_ = [self._opened(value)]
+        while True:
+            entry = open_[-1]
+            box, children, states, _ = entry
+            for key, child in children:
+                state = self.leaf_state(child)
+                if state is None:
+                    entry[3] = key
+                    open_.append(self._opened(child))
+                    break
+                self._note(states, key, state)
+            else:
+                open_.pop()
+                state = self.list_state(states) if isinstance(box, list) else self.object_state(states)
+                if not open_:
+                    return state
+                self._note(open_[-1][2], open_[-1][3], state)
+
+    @staticmethod
+    def _opened(box: Any) -> list:
+        return [box, iter([(None, x) for x in box]), set(), None] if isinstance(box, list) else [box, iter(box.items()), {}, None]
+
+    @staticmethod
+    def _note(states: dict | set, key: str | None, state: str) -> None:
+        if isinstance(states, set):
+            states.add(state)
+        else:
+            states[key] = state
 
     def list_state(self, inner: set[str]) -> str:
         if not inner:

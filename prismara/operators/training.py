@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prismara.functions.vectors import dot, l2_normalize
 from prismara.operators.metadata import seeded
+from prismara.session import read_if_there
 
 
 def train_val_split(samples: DataFrame, key: str, share: float = 0.15, seed: int = 42) -> DataFrame:
@@ -40,6 +44,54 @@ def descriptions(samples: DataFrame) -> DataFrame:
     return samples.select("description").where("description IS NOT NULL").distinct()
 
 
+TEXT_CACHE = "description string, vec array<float>, dataset string"
+
+
+def read_texts(spark: SparkSession, path: str, dataset: str) -> DataFrame | None:
+    """``description, vec`` of the stored text vectors; None if they are of another set of descriptions."""
+    stored = read_if_there(spark, path)
+    if stored is None:
+        return None
+    own = stored.where(F.col("dataset") == dataset).select("description", "vec")
+    return own if own.limit(1).count() else None
+
+
+def text_vectors(samples: DataFrame, path: str, embed: Callable[[list[str]], np.ndarray], batch: int = 256) -> DataFrame:
+    """``description, vec`` of every distinct description; read from ``path`` if they were stored for the same set, else embedded once each and stored.
+
+    ``embed`` takes at most ``batch`` texts.
+    """
+    spark = samples.sparkSession
+    wanted = descriptions(samples)
+    dataset = fingerprint(wanted, "description")
+    stored = read_texts(spark, path, dataset)
+    if stored is not None:
+        return stored
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            texts = part["description"].tolist()
+            for start in range(0, len(texts), batch):
+                some = texts[start : start + batch]
+                yield pd.DataFrame({"description": some, "vec": [v.astype(np.float32) for v in embed(some)], "dataset": dataset})
+
+    wanted.mapInPandas(run, TEXT_CACHE).write.mode("overwrite").parquet(path)
+    return spark.read.schema(TEXT_CACHE).parquet(path).select("description", "vec")
+
+
+def with_text(samples: DataFrame, texts: DataFrame, out: str = "text_vec") -> DataFrame:
+    """Each sample with the vector of its description; samples without one go."""
+    return samples.join(texts.select("description", F.col("vec").alias(out)), "description")
+
+
+def training_arrays(pairs: DataFrame, image: str, text: str, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of at most ``most`` pairs on the driver, for ``adapter.train``; more are refused."""
+    rows = pairs.where(F.col(image).isNotNull() & F.col(text).isNotNull()).select(image, text).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the driver trains on at most {most} pairs")
+    return np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
+
+
 def fingerprint(rows: DataFrame, *columns: str) -> str:
     """An MD5 of the set of rows, whatever their order.
 
@@ -76,6 +128,15 @@ def total_steps(samples: int, batch: int, accumulate: int, epochs: int) -> int:
     return -(-(-(-samples // batch)) // accumulate) * epochs + 1
 
 
+def learning_rate(step: int, steps: int, peak: float = 3e-4, warm_up: float = 0.1, start: float = 10.0, end: float = 100.0) -> float:
+    """The rate of one step of ``one_cycle``."""
+    low, last = peak / start, peak / start / end
+    up = warm_up * steps - 1
+    if step <= up:
+        return peak + (low - peak) / 2 * (1 + math.cos(math.pi * step / up)) if up > 0 else peak
+    return last + (peak - last) / 2 * (1 + math.cos(math.pi * (step - up) / max(steps - 1 - up, 1e-12)))
+
+
 def one_cycle(spark: SparkSession, steps: int, peak: float = 3e-4, warm_up: float = 0.1, start: float = 10.0, end: float = 100.0) -> DataFrame:
     """``step, lr``: cosine rise from peak / start over the warm-up, then cosine fall to the start's 1 / end."""
     low, last = peak / start, peak / start / end

@@ -1,4 +1,4 @@
-"""Previous row within a group, without gathering a hot group in one task."""
+"""Previous row and rank within a group, without gathering a hot group in one task."""
 
 from __future__ import annotations
 
@@ -44,3 +44,24 @@ def with_previous(df: DataFrame, group: list[str], order: list[str], payload: li
         on = on & F.col(c).eqNullSafe(F.col(f"_t_{c}"))
     first = heads.join(tail, on, "left").select(*df.columns, F.col("_t_prev").alias("prev"))
     return inner.unionByName(first)
+
+
+def with_rank(df: DataFrame, group: list[str], order: list[str], name: str = "ranked") -> DataFrame:
+    """Adds ``rank``, from 1, of each row by ``order`` in its group.
+
+    As in ``with_previous`` a group may span many tasks: ranks inside a task are moved up by the group's rows
+    in the tasks before, of which there is one count per task and group that meet.
+    """
+    for taken in ("_pid", "_rn", "_before", "rank"):
+        if taken in df.columns:
+            raise ValueError(f"column {taken} is reserved")
+    asc: list[Column] = [F.col(c).asc_nulls_first() for c in order]
+    frozen = materialize(df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in group], *asc).withColumn("_pid", F.spark_partition_id()), name)
+    local = frozen.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid", *group).orderBy(*asc)))
+    counts = frozen.groupBy("_pid", *group).agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*group).orderBy("_pid")) - F.col("_n"))
+    before = before.select(F.col("_pid").alias("_t_pid"), "_before", *[F.col(c).alias(f"_t_{c}") for c in group])
+    on = F.col("_pid") == F.col("_t_pid")
+    for c in group:
+        on = on & F.col(c).eqNullSafe(F.col(f"_t_{c}"))
+    return local.join(before, on).select(*df.columns, (F.col("_rn") + F.col("_before")).alias("rank"))

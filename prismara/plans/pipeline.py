@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -15,6 +16,7 @@ from prismara.operators.ward import ward_clusters
 from prismara.session import materialize
 
 Label = tuple[str, float, Sequence[float]]
+log = logging.getLogger("prismara")
 
 
 @dataclass
@@ -26,7 +28,8 @@ class SortPlan:
     content: tuple[list[Label], list[Label]] | None = None
     style: tuple[list[Label], list[Label]] | None = None
     descriptions: list[tuple[str, Sequence[float]]] = field(default_factory=list)
-    min_conf: float = 0.0
+    min_conf: float = 0.05
+    style_min_conf: float | None = None
     dedup_threshold: float | None = None
     sensitivity: float | None = None
 
@@ -51,7 +54,8 @@ def run(plan: SortPlan, images: DataFrame, scores: DataFrame | None = None) -> D
     rows = rows.withColumn("ok", F.lit(True))
     for axis, labels in (("content", plan.content), ("style", plan.style)):
         if labels:
-            rows = zero_shot(rows, "vec", labels[0], labels[1], plan.anchor, plan.min_conf, "z_")
+            rows = zero_shot(rows, "vec", labels[0], labels[1], plan.anchor, plan.min_conf if axis == "content" or plan.style_min_conf is None else plan.style_min_conf, "z_")
+            log.info("filter by %s: %d tags, %d against", axis, len(labels[0]), len(labels[1]))
             rows = rows.withColumn("ok", F.col("ok") & F.col("z_passed")).withColumn("folder", F.when(F.col("z_passed"), folder_path(F.col("folder"), F.col("z_label"))).otherwise(F.col("folder"))).drop("z_passed", "z_label", "z_margin")
     filtered = rows.where("NOT ok").select("image_id", F.lit("").alias("folder"), F.lit("filtered").alias("status"))
     kept = rows.where("ok").drop("ok")
@@ -59,11 +63,13 @@ def run(plan: SortPlan, images: DataFrame, scores: DataFrame | None = None) -> D
         kept = assign(kept, "vec", plan.descriptions).withColumn("folder", folder_path(F.col("folder"), F.col("description"))).drop("description")
     out = failed.unionByName(filtered)
     if plan.dedup_threshold is not None:
+        log.info("near-duplicates at %.2f", plan.dedup_threshold)
         kept = materialize(kept, "kept")
         unique = materialize(dedup(kept, "image_id", "vec", plan.dedup_threshold), "unique")
         out = out.unionByName(kept.join(unique, "image_id", "left_anti").select("image_id", F.lit("").alias("folder"), F.lit("duplicates").alias("status")))
         kept = unique
     if plan.sensitivity is not None:
+        log.info("clusters at sensitivity %.0f", plan.sensitivity)
         clusters = materialize(ward_clusters(kept, "image_id", "vec", plan.sensitivity), "clusters")
         if scores is None:
             names = clusters.select("cluster_id", F.format_string("group_%03d", F.col("cluster_id") + 1).alias("name")).distinct()

@@ -246,7 +246,10 @@ def image_metadata(spark, d):
 
 def folder_metadata(spark, d):
     made = metadata.folder_metadata(_assigned(spark, d), _scores(spark, d))
-    return made.select("folder", "total_images", "sampled", F.size("images").alias("n_images"), "has_mature")
+    entry = "struct<rating:struct<explicit:double>,general_tags:array<string>,all_scores:map<string,double>,error:string>"
+    image = F.explode(F.transform(F.map_entries("images"), lambda e: F.struct(e["key"].alias("name"), F.from_json(e["value"], entry).alias("v"))))
+    rows = made.select("folder", "total_images", "sampled", "has_mature", image.alias("e"))
+    return rows.select("folder", "total_images", "sampled", "has_mature", "e.name", F.col("e.v.rating.explicit").alias("explicit"), F.array_join("e.v.general_tags", ",").alias("general"), F.size("e.v.all_scores").alias("n_scores"), "e.v.error")
 
 
 def folder_sample(spark, d):
@@ -415,7 +418,7 @@ SELECT doc_id, pos, CASE WHEN name LIKE '-%' THEN 'negative' ELSE 'positive' END
     "feature_misses": f"WITH {_LISTING}, {_KEYS} SELECT path, mtime FROM ls WHERE NOT EXISTS (SELECT 1 FROM k WHERE model = 'siglip' AND k.path = ls.path AND k.mtime = ls.mtime)",
     "dual_vote": f"WITH {_E} SELECT vec_id, CASE WHEN e[1] >= e[2] THEN 'ai' ELSE 'hum' END AS label1, round(1 / (1 + exp(-abs(e[1] - e[2]))), 6) AS conf1, CASE WHEN e[1] >= e[2] AND e[3] >= e[4] THEN 'ai' ELSE 'hum' END AS vote FROM e",
     "zero_shot_positive": f"WITH {_E}, {_margins(POSITIVE, 'p')}, {_POS.format(c=MIN_CONF, t='p')} SELECT vec_id, n > 0 AS passed, label, round(best, 6) AS margin FROM ps",
-    "zero_shot_negative": f"WITH {_E}, {_margins(POSITIVE, 'p')}, {_margins(NEGATIVE, 'g')}, {_POS.format(c=MIN_CONF, t='p')}, ng AS (SELECT vec_id, max(m) AS worst, arg_max(tag, m) AS tag FROM g GROUP BY vec_id) SELECT vec_id, n > 0 AND worst <= 0 AS passed, CASE WHEN n > 0 AND worst > 0 THEN '-' || tag ELSE label END AS label, round(CASE WHEN n > 0 AND worst > 0 THEN -worst ELSE best END, 6) AS margin FROM ps JOIN ng USING (vec_id)",
+    "zero_shot_negative": f"WITH {_E}, {_margins(POSITIVE, 'p')}, {_margins(NEGATIVE, 'g')}, {_POS.format(c=MIN_CONF, t='p')}, ng AS (SELECT vec_id, max(m) AS worst, arg_max(tag, m) AS tag FROM g GROUP BY vec_id) SELECT vec_id, n > 0 AND worst <= 0 AS passed, CASE WHEN n > 0 AND worst > 0 THEN '-' || {_safe('tag')} ELSE label END AS label, round(CASE WHEN n > 0 AND worst > 0 THEN -worst ELSE best END, 6) AS margin FROM ps JOIN ng USING (vec_id)",
     "content_then_style": f"WITH {_E}, {_margins(POSITIVE[:2], 'p')}, {_POS.format(c=0.0, t='p')}, {_margins(POSITIVE[2:], 'p2')}, {_POS.format(c=0.0, t='p2').replace('ps AS', 'ps2 AS')}, {_margins(NEGATIVE[:1], 'g')} SELECT ps.vec_id, concat_ws('/', ps.label, ps2.label) AS folder FROM ps JOIN ps2 USING (vec_id) JOIN g USING (vec_id) WHERE ps.n > 0 AND ps2.n > 0 AND g.m <= 0",
     "semantic_assign": f"WITH {_E} SELECT vec_id, d AS description FROM (SELECT it.vec_id, s.d, row_number() OVER (PARTITION BY it.vec_id ORDER BY list_inner_product(it.e, l.e) DESC, l.vec_id) AS r FROM it, (VALUES (1, 'cat'), (2, 'dog'), (3, 'red car'), (4, 'tree')) s(v, d) JOIN e l ON l.vec_id = s.v) WHERE r = 1",
     "tag_embeddings": f"WITH {_E}, u AS (SELECT label, unnest({_unit('e')}) AS x, unnest(range(len(e))) AS pos FROM e), m AS (SELECT label, pos, avg(x) AS x FROM u GROUP BY ALL), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY label) SELECT label::VARCHAR AS tag, pos::INT AS pos, round(x / greatest(n, 1e-12), 6) AS x FROM m JOIN n USING (label)",
@@ -435,7 +438,11 @@ SELECT doc_id, pos, CASE WHEN name LIKE '-%' THEN 'negative' ELSE 'positive' END
     "tag_coherence": f"WITH {_SC}, {_MEM}, pl AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY image_id) - 1 AS px, count(*) OVER (PARTITION BY cluster_id) AS n FROM mem), sm AS (SELECT cluster_id, image_id FROM pl WHERE px % greatest(1, n // 10) = 0 AND px // greatest(1, n // 10) < 10), r AS (SELECT image_id, tag, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, tag_idx, tag) AS r FROM sc WHERE score IS NOT NULL), t AS (SELECT image_id, list(DISTINCT tag) AS tags FROM r WHERE r <= 30 GROUP BY 1), s AS (SELECT cluster_id, image_id, coalesce(tags, []) AS tags FROM sm LEFT JOIN t USING (image_id)), p AS (SELECT a.cluster_id, len(list_intersect(a.tags, b.tags)) AS i, len(list_distinct(list_concat(a.tags, b.tags))) AS u FROM s a JOIN s b ON a.cluster_id = b.cluster_id AND a.image_id < b.image_id), o AS (SELECT cluster_id, avg(i / u) AS overlap FROM p WHERE u > 0 GROUP BY 1) SELECT cluster_id, round(coalesce(overlap, 1.0), 6) AS overlap FROM (SELECT DISTINCT cluster_id FROM mem) LEFT JOIN o USING (cluster_id)",
     "folder_paths": "SELECT doc_id, concat_ws('/', nullif(source, ''), nullif(lang, '')) AS folder FROM documents",
     "image_metadata": f"WITH {_SC}, {_RANKED}, x AS (SELECT image_id, count(*) AS n, coalesce(string_agg(tag, ',' ORDER BY r) FILTER ({_MATURE}), '') AS mature, coalesce(string_agg(tag, ',' ORDER BY r) FILTER (category = 4 AND NOT {_MATURE}), '') AS character, coalesce(string_agg(tag, ',' ORDER BY r) FILTER (category <> 4 AND NOT {_MATURE}), '') AS general FROM rk WHERE r <= 30 GROUP BY 1), rt AS (SELECT image_id, coalesce(max(score) FILTER (tag = 'explicit'), 0.0) AS explicit FROM sc WHERE score IS NOT NULL GROUP BY 1) SELECT image_id, round(explicit, 3) AS explicit, coalesce(general, '') AS general, coalesce(character, '') AS character, coalesce(mature, '') AS mature, coalesce(n, 0)::INT AS n_scores FROM rt LEFT JOIN x USING (image_id)",
-    "folder_metadata": f"WITH {_SC}, {_ASSIGNED}, {_RANKED}, f AS (SELECT image_id, coalesce(nullif(folder, ''), 'root') AS folder, path FROM ass), s AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY substr(md5('42#' || path), 1, 16), path) AS q FROM f), m AS (SELECT image_id, bool_or({_MATURE}) AS mature FROM rk WHERE r <= 30 GROUP BY 1) SELECT folder, count(*) AS total_images, count(*) FILTER (q <= 20) AS sampled, (count(*) FILTER (q <= 20))::INT AS n_images, coalesce(bool_or(coalesce(mature, false)) FILTER (q <= 20), false) AS has_mature FROM s LEFT JOIN m USING (image_id) GROUP BY folder",
+    "folder_metadata": f"""WITH {_SC}, {_ASSIGNED}, {_RANKED}, f AS (SELECT image_id, coalesce(nullif(folder, ''), 'root') AS folder, path, regexp_extract(path, '(?s)([^/]*)$', 1) AS base FROM ass),
+k AS (SELECT *, count(*) OVER (PARTITION BY folder) AS total, count(*) OVER (PARTITION BY folder, base) AS c FROM f),
+x AS (SELECT image_id, count(*) AS n, bool_or({_MATURE}) AS m, string_agg(tag, ',' ORDER BY r) FILTER (category <> 4 AND NOT {_MATURE}) AS general FROM rk WHERE r <= 30 GROUP BY 1),
+rt AS (SELECT image_id, round(coalesce(max(score) FILTER (tag = 'explicit'), 0.0), 3) AS explicit FROM sc WHERE score IS NOT NULL GROUP BY 1)
+SELECT folder, total AS total_images, total AS sampled, bool_or(coalesce(m, false)) OVER (PARTITION BY folder) AS has_mature, CASE WHEN c > 1 THEN path ELSE base END AS name, explicit, CASE WHEN rt.image_id IS NOT NULL THEN coalesce(general, '') END AS general, CASE WHEN rt.image_id IS NOT NULL THEN coalesce(n, 0)::INT END AS n_scores, CASE WHEN rt.image_id IS NULL THEN 'no tags found' END AS error FROM k LEFT JOIN x USING (image_id) LEFT JOIN rt USING (image_id)""",
     "folder_sample": f"WITH {_MD}, {_ASSIGNED} SELECT folder, path FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY substr(md5('42#' || path), 1, 16), path) AS q FROM ass WHERE folder IS NOT NULL) WHERE q <= 5",
     "run_counters": "SELECT count(*) AS total, count(*) FILTER (label > 3 OR label IS NULL) AS saved, count(*) FILTER (label IN (1, 2)) AS filtered, count(*) FILTER (label = 3) AS duplicates, count(*) FILTER (label = 0) AS failed FROM embeddings",
     "descriptions": "SELECT DISTINCT text AS description FROM documents WHERE text IS NOT NULL",

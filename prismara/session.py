@@ -62,6 +62,29 @@ def sized(df: DataFrame, name: str, most: int = 100_000) -> tuple[DataFrame, int
     return (F.broadcast(written) if rows <= most else written), rows
 
 
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``, or None if there is no file of it; what is there and can't be read is an error."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(pattern):
+        return None
+    files = fs.listFiles(pattern, True)
+    while files.hasNext():
+        if files.next().getPath().getName().endswith(".parquet"):
+            return spark.read.parquet(path)
+    return None
+
+
+def tagged(spark: SparkSession, tag: str) -> None:
+    """Marks the jobs that this thread starts from now on; ``cancel`` ends them."""
+    spark.sparkContext.addJobTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    """Ends all running jobs of a tag; the stage that waits for them raises."""
+    spark.sparkContext.cancelJobsWithTag(tag)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables in ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismara.functions.text import cache_key_parts
+from prismara.session import read_if_there
 
 SCHEMA = "model string, path string, mtime double, adapter boolean, vec array<float>"
 
@@ -16,11 +17,9 @@ def parse_cache(cache: DataFrame) -> DataFrame:
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """The stored features; an empty table where nothing readable is stored."""
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - an unreadable cache counts as empty
-        return spark.createDataFrame([], SCHEMA)
+    """The stored features; an empty table where nothing is stored yet."""
+    stored = read_if_there(spark, path)
+    return spark.createDataFrame([], SCHEMA) if stored is None else stored
 
 
 def latest_features(features: DataFrame, model: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prismara.functions.text import is_image
 from prismara.schema import IMAGE_EXTENSIONS
-from prismara.session import materialize
+from prismara.session import materialize, read_if_there
 
 LISTING = "path string, mtime double, length long"
 
@@ -62,8 +62,8 @@ def write_snapshot(listing: DataFrame, path: str, key: str) -> None:
 
 def read_snapshot(spark: SparkSession, path: str, key: str, live: DataFrame) -> DataFrame | None:
     """The stored scan without files that vanished; None if there is none of that key."""
-    try:
-        stored = spark.read.parquet(path).where(F.col("scan_key") == key)
-    except Exception:  # noqa: BLE001 - a missing or unreadable snapshot only means a new scan
+    stored = read_if_there(spark, path)
+    if stored is None:
         return None
+    stored = stored.where(F.col("scan_key") == key)
     return stored.drop("scan_key").join(live.select("path"), "path", "left_semi") if stored.limit(1).count() else None

@@ -71,7 +71,7 @@ def _folder(parent: str, value: dict) -> Iterator[dict]:
     text = value["description"] if isinstance(value["description"], str) else ""
     parts = [p.strip() for p in text.split(";") if p.strip()]
     captions = dict(zip(names, parts)) if len(parts) == len(names) else dict.fromkeys(names, text) if parts else {}
-    yield {"folder": parent, "captions": captions, "description": text}
+    yield {"folder": parent, "captions": captions, "description": text, "candidates": [posixpath.normpath(posixpath.join(parent, n)) for n in names]}
 
 
 def _keyed(parent: str, value: dict) -> Iterator[dict]:
@@ -115,11 +115,14 @@ def training_pairs(files: DataFrame, listing: DataFrame) -> DataFrame:
     existing = listing.where("path IS NOT NULL").select(F.col("path").alias("image_path")).distinct()
     direct = found.where("image_path IS NOT NULL").select("json_path", "layout", "image_path", "description").join(existing, "image_path", "left_semi")
     # Candidates in their order; the first that exists counts.
-    tried = found.where("candidates IS NOT NULL").withColumn("no", F.monotonically_increasing_id())
+    tried = found.where("candidates IS NOT NULL AND folder IS NULL").withColumn("no", F.monotonically_increasing_id())
     options = tried.select("no", "json_path", "layout", "description", F.posexplode("candidates").alias("at", "image_path")).join(existing, "image_path", "left_semi")
     beside = options.groupBy("no").agg(F.min_by(F.struct("json_path", "layout", "image_path", "description"), "at").alias("r")).select("r.*")
     images = existing.where(is_image(F.col("image_path"), SIBLING_EXTENSIONS)).withColumn("folder", dirname(F.col("image_path")))
-    legacy = found.where("folder IS NOT NULL").select("json_path", "layout", "folder", "captions", "description")
+    legacy = found.where("folder IS NOT NULL").select("json_path", "layout", "folder", "captions", "description", "candidates")
+    # Of a folder without images the files that are named count, wherever they are.
+    named = legacy.join(images.select("folder").distinct(), "folder", "left_anti").select("json_path", "layout", "captions", "description", F.explode(F.array_distinct("candidates")).alias("image_path")).join(existing, "image_path", "left_semi")
     here = F.col("image_path")
-    described = legacy.join(images, "folder").select("json_path", "layout", here, F.coalesce(F.try_element_at("captions", basename(here)), F.col("description")).alias("description"))
+    caption = F.coalesce(F.try_element_at("captions", basename(here)), F.col("description")).alias("description")
+    described = legacy.join(images, "folder").select("json_path", "layout", here, caption).unionByName(named.select("json_path", "layout", here, caption))
     return direct.select("json_path", "layout", "image_path", "description").unionByName(beside).unionByName(described).where("description <> ''")

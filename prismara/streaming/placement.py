@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from prismara.operators.metadata import placement_plan
+from prismara.session import read_if_there
 from prismara.sources.listing import images_only
 
 
@@ -28,10 +29,8 @@ def incremental_placement(spark: SparkSession, source: str, schema: str, out: st
 
     def write(batch: DataFrame, number: int) -> None:
         listed = folder(images_only(batch)).withColumn("ord", F.col("path"))
-        try:
-            before = spark.read.parquet(out).where(F.col("batch") < number)
-        except Exception:  # noqa: BLE001 - nothing was written yet
-            before = None
+        written = read_if_there(spark, out)
+        before = None if written is None else written.where(F.col("batch") < number)
         fresh = listed if before is None else listed.join(before.select("path"), "path", "left_anti")
         plan = placement_plan(fresh.dropDuplicates(["path"]), None if before is None else before.select("target"))
         plan.write.mode("overwrite").parquet(f"{out}/batch={number}")

@@ -71,8 +71,141 @@ def test_ward_bounds(spark):
     one = frame(spark, vectors(1))
     assert [tuple(r) for r in ward.ward_clusters(one, "id", "vec").collect()] == [(0, 0)]
     assert ward.ward_clusters(spark.createDataFrame([], "id long, vec array<double>"), "id", "vec").count() == 0
-    with pytest.raises(ValueError, match="at most"):
-        ward.ward_clusters(frame(spark, vectors(4)), "id", "vec", most=3)
+    # Beyond the bound rows are taken together first; groups that are apart stay apart.
+    x = np.concatenate([c + 0.01 * vectors(40, 8, k) for k, c in enumerate(5 * np.eye(8)[:3])])
+    got = ward.ward_clusters(frame(spark, x), "id", "vec", sensitivity=50.0, most=30).collect()
+    labels = {r["id"]: r["cluster_id"] for r in got}
+    assert sorted(labels) == list(range(120)) and {len({labels[i] for i in range(a, a + 40)}) for a in (0, 40, 80)} == {1} and set(labels.values()) == {0, 1, 2}
+
+
+def test_blocks_and_exact_percentiles(spark, monkeypatch):
+    """Several narrow blocks and several passes of the histogram give what one would."""
+    monkeypatch.setattr(dedup, "BLOCK", 20)
+    monkeypatch.setattr(ward, "BINS", 8)
+    monkeypatch.setattr(ward, "FEW", 5)
+    x = np.concatenate([c + 0.2 * vectors(40, 8, k) for k, c in enumerate(np.eye(8)[:3])])
+    x[3] = x[90]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    wide = spark.createDataFrame([(500, [1.0] * 9), (501, [1.0] * 9)], "id long, vec array<double>")
+    got = {(r["a"], r["b"]) for r in dedup.similar_pairs(frame(spark, x).unionByName(wide), "id", "vec", 0.9).collect()}
+    assert got == {(int(i), int(j)) for i, j in np.argwhere(np.triu(u @ u.T >= 0.9, 1))} | {(500, 501)}
+    d = np.linalg.norm(u[:, None] - u[None, :], axis=2)[np.triu_indices(120, 1)]
+    for q in (0, 35, 50, 100):
+        assert ward.distance_percentile(frame(spark, x), "id", "vec", q).first()["threshold"] == pytest.approx(np.percentile(d, q), abs=1e-7)
+    row = ward.distance_stats(frame(spark, x), "id", "vec").first()
+    assert (row["n"], row["min"], row["mean"], row["median"]) == pytest.approx((len(d), d.min(), d.mean(), np.median(d)), abs=1e-7)
+
+
+def test_products(spark):
+    from prismara.functions.vectors import products
+
+    t = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [1.0]), (4, [0.0, 0.0]), (5, [])], "id long, v array<double>")
+    got = {r["id"]: r["p"] for r in t.select("id", products(F.col("v"), [[3.0, 4.0], [1.0]], cosines=True).alias("p")).collect()}
+    assert got[1] == [pytest.approx(11 / 5 / math.sqrt(5)), None] and got[2] is None and got[3] == [None, 1.0] and got[4][0] == 0.0 and got[5] == [None, None]
+
+
+def test_rank_in_hot_groups(spark):
+    from prismara.plans.adjacent import with_rank
+
+    rows = [("hot" if i % 3 else None, i * 7 % 101) for i in range(101)]
+    got = with_rank(spark.createDataFrame(rows, "g string, o long").repartition(5), ["g"], ["o"]).collect()
+    for g in ("hot", None):
+        own = sorted((r["o"], r["rank"]) for r in got if r["g"] == g)
+        assert [k for _, k in own] == list(range(1, len(own) + 1))
+    assert len(got) == 101
+
+
+def test_free_numbers_of_a_hot_name(spark):
+    names = ["IMG.png"] * 6 + ["IMG_2.png", "IMG_3.png", "IMG_07.png"]
+    rows = spark.createDataFrame([(f"/d{i}/{n}", "f", i) for i, n in enumerate(names)], "path string, folder string, ord long")
+    plan = {r["path"]: r["target"] for r in metadata.placement_plan(rows, spark.createDataFrame([("f/IMG_5.png",)], "target string")).collect()}
+    assert [plan[f"/d{i}/IMG.png"] for i in range(6)] == ["f/IMG.png", "f/IMG_1.png", "f/IMG_4.png", "f/IMG_6.png", "f/IMG_7.png", "f/IMG_8.png"]
+    assert len(set(plan.values())) == len(names)
+
+
+def test_text_cache(spark, tmp_path):
+    path, calls = str(tmp_path / "texts"), str(tmp_path / "calls")
+
+    def embed(texts):
+        with open(calls, "a") as f:
+            f.write(f"{len(texts)}\n")
+        return [np.full(2, len(t)) for t in texts]
+
+    samples = spark.createDataFrame([(1, "aa"), (2, "b"), (3, "aa"), (4, None)], "id long, description string")
+    for _ in range(2):  # the second time nothing is embedded
+        joined = training.with_text(samples, training.text_vectors(samples, path, embed, 1))
+        assert {(r["id"], r["text_vec"][0]) for r in joined.collect()} == {(1, 2.0), (2, 1.0), (3, 2.0)}
+        assert open(calls).read().split() == ["1", "1"]
+    x, y = training.training_arrays(joined, "text_vec", "text_vec")
+    assert x.shape == (3, 2) and (x == y).all()
+    more = samples.unionByName(spark.createDataFrame([(5, "ccc")], samples.schema))
+    assert training.text_vectors(more, path, embed).count() == 3
+
+
+def test_training_resumes(tmp_path):
+    x, y = vectors(40, 6, 1), vectors(40, 4, 2)
+    whole = train(x, y, x, y, str(tmp_path / "a"), epochs=4, batch=8)
+    train(x, y, x, y, str(tmp_path / "b"), epochs=4, batch=8, patience=99)
+    part = tmp_path / "c"
+    first = train(x[:], y, x, y, str(part), epochs=4, batch=8, best_copy=str(tmp_path / "best.npz"))
+    assert [e["val_loss"] for e in first] == [e["val_loss"] for e in whole] and (tmp_path / "best.npz").exists()
+    # Stop after two epochs, then go on: the same log.
+    import prismara.operators.adapter as module
+
+    real, seen = module._validated, []
+
+    def stop(*a):
+        seen.append(1)
+        if len(seen) == 3:
+            raise KeyboardInterrupt
+        return real(*a)
+
+    module._validated = stop
+    try:
+        with pytest.raises(KeyboardInterrupt):
+            train(x, y, x, y, str(tmp_path / "d"), epochs=4, batch=8)
+    finally:
+        module._validated = real
+    again = train(x, y, x, y, str(tmp_path / "d"), epochs=4, batch=8, resume=True)
+    assert [(e["epoch"], e["val_loss"], e["lr"]) for e in again] == [(e["epoch"], e["val_loss"], e["lr"]) for e in whole] and "val_cos_sim" in again[0]
+
+
+def test_image_inputs():
+    from prismara.functions import images
+
+    flat = np.full((30, 50, 3), 128, np.uint8)
+    flat[..., 0] = 255
+    made = images.tagger_input(flat)
+    assert made.shape == (1, 448, 448, 3) and np.allclose(made[..., 2], 1) and np.allclose(made[..., 0], 128 / 255, atol=1e-6)
+    assert images.thumbnail(np.zeros((1000, 400, 3), np.uint8)).shape == (512, 205, 3) and images.thumbnail(flat) is flat
+    ramp = np.repeat(np.arange(64.0)[None, :, None], 64, 0).repeat(3, 2)
+    assert np.allclose(images.resized(ramp, 32, 32)[5, 4:28, 0], (np.arange(32) * 2 + 0.5)[4:28])
+    assert images.validation_input(None).sum() == 0 and images.training_input(flat, np.random.default_rng(1)).shape == (3, 224, 224)
+    assert images.decoded({"height": 1, "width": 1, "nChannels": 3, "data": bytes([1, 2, 3])}).tolist() == [[[3, 2, 1]]] and images.decoded(None) is None
+
+
+def test_model_hooks(spark):
+    t = spark.createDataFrame([(1, "a"), (2, "bb")], "image_id long, path string")
+    got = {r["image_id"]: r["vec"] for r in fusion.map_vectors(t, lambda: 2, lambda m, b: [[m * len(p)] if len(p) > 1 else None for p in b["path"]], ["image_id", "path"]).collect()}
+    assert got == {1: None, 2: [4.0]}
+    tags = fusion.map_tags(t, lambda: 0, lambda m, b: [[(p, 1, 0, 0.5)] * len(p) for p in b["path"]], ["image_id", "path"])
+    assert tags.count() == 3
+
+    def classify_one(model, batch):
+        if len(batch) > 1:
+            raise MemoryError
+        return [[0.0, 1.0]]
+
+    labels = fusion.map_logits(t.coalesce(1), lambda: 0, classify_one, ["hum", "ai"], ["image_id"])
+    assert {(r["image_id"], r["label"]) for r in labels.collect()} == {(1, "ai"), (2, "ai")}
+
+
+def test_search_copies(spark, tmp_path):
+    from prismara.operators.search import copy_results
+
+    (tmp_path / "a.png").write_bytes(b"1")
+    found = spark.createDataFrame([(str(tmp_path / "a.png"), "r/001_0.90.png"), (str(tmp_path / "gone.png"), "r/002_0.80.png")], "path string, target string")
+    assert copy_results(found, str(tmp_path / "out")) == 1 and (tmp_path / "out/r/001_0.90.png").exists()
 
 
 def test_zero_shot(spark):
@@ -234,6 +367,7 @@ def test_settings(tmp_path):
         s.remember(str(i))
     save_settings(s, path)
     assert load_settings(path) == s and s.group_desc_history[0] == "24" and len(s.group_desc_history) == 20
+    assert Settings().models() == {"vote", "second_vote"} and "tagger" in Settings(visual_clusters=True).models()
     with pytest.raises(ValueError, match="percentile"):
         Settings(sensitivity=101)
 

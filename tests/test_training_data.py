@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from prismara.operators import drift
 from prismara.operators.nested import ShapeAutomaton, document_rows, flatten_documents
@@ -133,3 +134,33 @@ def test_shapes(value, state):
 def test_queries_run(spark, tiny):
     for name, query in training_queries.QUERIES.items():
         assert query(spark, tiny).count() > 0, name
+
+
+@pytest.mark.parametrize("levels", [1500, 20_000])
+def test_deep_records(spark, levels):
+    """Nesting of any depth is read, in entries and in folders."""
+    from prismara.functions.jsonio import deep_loads, dumps, strict_loads
+    from prismara.operators import drift, nested
+
+    deep = "[" * levels + "]" * levels
+    rows = [(1, '{"folder":"f","images":{"a.png":{"general_tags":["x"],"extra":' + deep + "}}}"), (2, '{"folder":"g","subfolders":[' * levels + '{"folder":"z","images":[]}' + "]}" * levels), (3, "[" * levels)]
+    files = spark.createDataFrame(rows, "meta_id long, body string")
+    counts = {r["meta_id"]: r["count"] for r in nested.flatten_documents(files).nodes.groupBy("meta_id").count().collect()}
+    assert counts == {1: 3, 2: levels + 1}
+    feed = spark.createDataFrame([("a", 1, '[{"path":"p","extra":' + deep + "}]")], "feed string, file_id long, body string").withColumn("written_at", F.current_timestamp())
+    assert drift.profile_files(feed).count() == 1 and len(drift.unified_records(feed).first()["attributes"]["extra"]) == 2 * levels
+    assert dumps(strict_loads(deep)) == deep
+    for text in ('{"a": [1, -2.5e3, true, null, "\\u00e9"], "b": {}}', "[]", ' "x" '):
+        assert deep_loads(text) == json.loads(text)
+    for text in ("[1,]", "[1 2]", "01", '{"a"}', "[", "nul", "{1:2}"):
+        with pytest.raises((ValueError, IndexError)):
+            deep_loads(text)
+
+
+def test_named_files_of_a_folder_without_images(spark):
+    from prismara.sources import training_json
+
+    body = '{"sample_files": ["sub/a.png", "gone.png"], "description": "one; two"}'
+    files = spark.createDataFrame([("/d/m.json", body)], "path string, body string")
+    got = training_json.training_pairs(files, spark.createDataFrame([("/d/sub/a.png",)], "path string")).collect()
+    assert [(r["image_path"], r["description"]) for r in got] == [("/d/sub/a.png", "one; two")]
