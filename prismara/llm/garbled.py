@@ -509,6 +509,12 @@ def restored_documents(documents: DataFrame) -> DataFrame:
                 out.append(t)
                 continue
             known = {x["stretch"]: _again(x["restored"], x["key"]) for x in f if x["restored"] is not None}
+            # Where one cipher made nearly all of a text's stretches it made the few others, too, which are too short to tell.
+            keys = Counter(x["key"] for x in f if x["restored"] is not None)
+            left = {m.group() for m in _STRETCH.finditer(t) if not m.group().isascii()} - known.keys()
+            if keys and keys.most_common(1)[0][1] >= max(3, 3 * len(left)):
+                key = KEYS[keys.most_common(1)[0][0]]
+                known |= {s: r for s in left if (r := undo(s, *key)) is not None and LOST not in s}
             out.append(_STRETCH.sub(lambda m, known=known: known.get(m.group(), m.group()), t))
         return pd.Series(out)
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import os
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -31,7 +32,8 @@ from tokenizers import Tokenizer
 
 from prismara.session import materialize
 
-TOKENIZER_DIR = "/opt/tokenizers"
+#: Folder of the vocabulary files, unless a call names another.
+TOKENIZER_DIR = os.environ.get("PRISMARA_TOKENIZERS", "/opt/tokenizers")
 FREQUENT, FREQUENT_CHARS = 1000, 64
 
 # The pre-token pattern of the public tokenizer.
@@ -102,27 +104,31 @@ def encode_corpus(documents: DataFrame, directory: str = TOKENIZER_DIR, name: st
     words = materialize(word_table(documents, path), "words")
     total = words.agg(F.sum("n")).first()[0] or 0
     frequent = {r["word"]: r["ids"] for r in words.where((F.col("n") * FREQUENT >= total) & (F.length("word") <= FREQUENT_CHARS)).select("word", "ids").collect()}
-    shared = documents.sparkSession.sparkContext.broadcast({w: np.array(i, np.int32) for w, i in frequent.items()})
+    shared = documents.sparkSession.sparkContext.broadcast({w: tuple(i) for w, i in frequent.items()})
 
     def skeletons(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per document a row with its skeleton (gap k is -k, from 1), and a row for each gap's word."""
         known = shared.value
         for batch in batches:
-            rid, doc, k, word, skeleton = [], [], [], [], []
+            # All skeletons of a batch are one flat array of ids; rows of words follow those of documents.
+            flat, ends, rid, doc, k = array("i"), [0], [], [], []
+            word_rid, word_k, word = [], [], []
             for r, d, text in zip(*(c.to_pylist() for c in batch.columns)):
                 gaps: dict[str, int] = {}
-                parts: list = []
                 for w in pretokens(text, path) if text else ():
                     ids = known.get(w)
                     if ids is None:
-                        parts.append((-gaps.setdefault(w, len(gaps) + 1),))
+                        flat.append(-gaps.setdefault(w, len(gaps) + 1))
                     else:
-                        parts.append(ids)
-                rid.append(r), doc.append(d), k.append(len(gaps)), word.append(None)
-                skeleton.append(np.concatenate(parts).astype(np.int32) if parts else np.empty(0, np.int32))
-                for w, i in gaps.items():
-                    rid.append(r), doc.append(None), k.append(i), word.append(w), skeleton.append(None)
-            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(doc, pa.int64()), pa.array(k, pa.int32()), pa.array(word, pa.string()), pa.array(skeleton, pa.list_(pa.int32()))], ["rid", "doc_id", "k", "word", "skeleton"])
+                        flat.extend(ids)
+                ends.append(len(flat)), rid.append(r), doc.append(d), k.append(len(gaps))
+                word_rid += [r] * len(gaps)
+                word_k += gaps.values()
+                word += gaps
+            n, m = len(rid), len(word)
+            skeleton = pa.concat_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32))), pa.nulls(m, pa.list_(pa.int32()))])
+            columns = [pa.array(rid + word_rid, pa.int64()), pa.array(doc + [None] * m, pa.int64()), pa.array(k + word_k, pa.int32()), pa.array([None] * n + word, pa.string()), skeleton]
+            yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "k", "word", "skeleton"])
 
     numbered = documents.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), "text")
     cut = materialize(numbered.mapInArrow(skeletons, "rid long, doc_id long, k int, word string, skeleton array<int>"), "skeletons")

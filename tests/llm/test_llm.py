@@ -389,6 +389,75 @@ def test_undo(written, read, text):
     assert garbled.undo(bad, written, read) == text
 
 
+def read_as(text, written, read):
+    raw = text.encode(written)
+    if read in garbled.MULTI_READ:
+        return raw.decode(read)
+    page = garbled.byte_letters(read)
+    return "".join(chr(b) if b < 0x80 else page[b] for b in raw)
+
+
+LANGUAGES = {
+    "el": "το παλιό καράβι φεύγει από το λιμάνι όταν ο ήλιος ανεβαίνει πάνω από τα βουνά και οι ψαράδες γυρίζουν με άδεια δίχτυα στην ακτή ενώ τα παιδιά παίζουν κοντά στη γέφυρα".split(),
+    "ru": "старый моряк чинит бумажную лодку под мостом пока дети играют у реки и смотрят как ветер несёт жёлтые листья над тёмной водой а девочка рисует дерево и красный дом".split(),
+    "de": "die müde Bäckerin öffnet früh die Tür während draußen über den Dächern dünner Nebel zieht und für später süße Brötchen übrig bleiben".split(),
+    "zh": list("年老的船夫在雾中修理纸船孩子们在桥下看着黄色的叶子落到水面上一个小女孩在画红色的房子和树"),
+    "ja": list("年老いた船乗りが霧の中で紙の舟を直している子供たちは橋の下で黄色い葉が水に落ちるのを見ているさむらいの人形とまるい小石が小さな店の棚にならんでいて女の子は赤い家と木の絵をかきながら母の帰りを静かに待っている"),
+}
+SWAPS = [("cp1253", "cp1252", "el"), ("iso8859-5", "latin-1", "ru"), ("gb18030", "cp1252", "zh"), ("utf-8", "cp932", "ja"), ("utf-8", "cp1252", "de"), ("cp1251", "koi8-r", "ru"), ("cp932", "latin-1", "ja"), ("mac_roman", "cp1252", "de")]
+
+
+def planted_swaps(rng, clean=200, bad=8):
+    """Clean texts of all languages, and texts of each swap that can be read that way as a whole."""
+    def text(lang):
+        words = LANGUAGES[lang]
+        if lang in ("zh", "ja"):
+            start = rng.randint(0, len(words) - 16)
+            return "".join(words[start : start + rng.randint(8, 16)])
+        start = rng.randint(0, len(words) - 8)
+        return " ".join(words[start : start + rng.randint(5, 8)])
+
+    docs, truth = [(i, f"clean{i % 5}", text(rng.choice(list(LANGUAGES)))) for i in range(clean * 5)], {}
+    number = 1000
+    for written, read, lang in SWAPS:
+        made = 0
+        while made < bad:
+            own = text(lang)
+            try:
+                garbled_text = read_as(own, written, read)
+            except (UnicodeDecodeError, UnicodeEncodeError):
+                continue
+            docs.append((number, f"{written}-{read}", garbled_text))
+            truth[number] = (written, read, own)
+            number, made = number + 1, made + 1
+    return docs, truth
+
+
+def test_learned_swaps(spark):
+    """Recall per swap, and no clean text among the found."""
+    docs, truth = planted_swaps(random.Random(7))
+    rows = garbled.restored_documents(spark.createDataFrame(docs, "doc_id long, source string, text string")).collect()
+    got = {r["doc_id"]: r["text"] for r in rows}
+    assert len(got.keys() - truth.keys()) <= 2
+    for written, read, _ in SWAPS:
+        own = [i for i, t in truth.items() if t[:2] == (written, read)]
+        found, right = sum(i in got for i in own), sum(got.get(i) == truth[i][2] for i in own)
+        assert right >= 0.5 * len(own), (written, read, right)
+        assert found >= 0.75 * len(own), (written, read, found)
+
+
+def test_long_runs_are_restored_whole(spark):
+    rng = random.Random(3)
+    docs, truth = [], {}
+    for i in range(60):
+        own = "".join(rng.choices(LANGUAGES["ja"], k=560))
+        truth[i] = own
+        docs.append((i, "a", own if i % 6 else own.encode("utf-8").decode("latin-1")))
+    assert len(docs[0][2]) == 1680
+    rows = garbled.restored_documents(spark.createDataFrame(docs, "doc_id long, source string, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in rows} == {i: truth[i] for i in range(0, 60, 6)}
+
+
 def test_garbled_documents(spark):
     rng = random.Random(2)
     docs, planted_ids = [], {}
