@@ -444,8 +444,8 @@ def solve(documents: DataFrame) -> DataFrame:
     stretches = materialize(texts.mapInPandas(_stretches, "source string, stretch string, n long").groupBy("source", "stretch").agg(F.sum("n").alias("n")), "stretches")
     totals = stretches.groupBy("source").agg(F.sum("n").alias("total"))
     model = spark.sparkContext.broadcast(tuple(x.astype(np.float32) for x in base))
-    # Each distinct stretch is undone once.
-    distinct = stretches.groupBy("stretch").agg(F.count("*").alias("spread"))
+    # Each distinct stretch is undone once. They are few bytes and much work, so they are spread over all tasks, whatever their size.
+    distinct = stretches.groupBy("stretch").agg(F.count("*").alias("spread")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     options = materialize(distinct.mapInPandas(_with_spread(_options(model)), f"stretch string, {OPTION}, spread long"), "options")
     types = distinct.count()
     found = stretches.join(options, "stretch").join(sized(totals, "totals")[0], "source")

@@ -491,11 +491,12 @@ def _with_copies(best: DataFrame, spare: DataFrame, k: int, least: float, only:
     ids, _ = sized(first, "copies")
     pairs = best.select("kind", "q", F.explode("t").alias("n")).select("kind", "q", "n.b", (-F.col("n.d")).alias("s"))
     if least <= 1.0:
-        own = ids.select("kind", F.col("rep").alias("q"), F.col("rep").alias("b"), F.lit(1.0).alias("s"))
-        pairs = pairs.unionByName(own)
+        pairs = pairs.unionByName(ids.select("kind", F.col("rep").alias("q"), F.col("rep").alias("b"), F.lit(1.0).alias("s")))
     wide = pairs.join(ids.withColumnRenamed("rep", "b"), ["kind", "b"], "left").select("kind", "q", F.explode(F.coalesce("ids", F.array("b"))).alias("b"), "s")
     lists = materialize(near(wide), "lists")
-    askers = lists.select("kind", "q", "t").where(F.expr(only.replace("feat_id", "q"))).unionByName(lists.join(spare.where(F.expr(only)).select("kind", F.col("rep").alias("q"), "feat_id"), ["kind", "q"]).select("kind", F.col("feat_id").alias("q"), "t"))
+    own = lists.select("kind", F.col("q").alias("feat_id"), "t")
+    others = spare.withColumnRenamed("rep", "q").join(lists, ["kind", "q"]).select("kind", "feat_id", "t")
+    askers = own.unionByName(others).where(F.expr(only)).withColumnRenamed("feat_id", "q")
     return askers.select("kind", "q", F.slice(F.filter("t", lambda n: n["b"] != F.col("q")), 1, k).alias("t"))
 
 

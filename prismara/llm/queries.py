@@ -138,7 +138,17 @@ tags AS (SELECT image_id, {_NORMAL} AS tag FROM raw WHERE t IS NOT NULL AND {_NO
 f AS (SELECT tag, count(*) AS occurrences, count(DISTINCT image_id) AS images FROM tags GROUP BY tag)
 """
 
+# By brute force, exact; over the small tables only, as it compares all vectors.
+_VECTORS = r"""k AS (SELECT feat_id, ckey, vec::DOUBLE[] AS v, CASE WHEN ckey LIKE 'siglip\_%' ESCAPE '\' THEN 'siglip' WHEN ckey LIKE 'dinov2ms\_%\_True' ESCAPE '\' THEN 'dinov2ms_True' WHEN ckey LIKE 'dinov2ms\_%\_False' ESCAPE '\' THEN 'dinov2ms_False' END AS kind FROM feat_cache WHERE feat_id IS NOT NULL),
+w AS (SELECT * FROM k WHERE len(v) = CASE kind WHEN 'siglip' THEN 1152 WHEN 'dinov2ms_True' THEN 384 WHEN 'dinov2ms_False' THEN 1536 END AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+u AS (SELECT kind, feat_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM (SELECT *, row_number() OVER (PARTITION BY ckey ORDER BY feat_id) AS r FROM w) WHERE r = 1),
+s AS (SELECT a.kind, a.feat_id AS a, b.feat_id AS b, list_inner_product(a.v, b.v) AS s FROM u a JOIN u b ON a.kind = b.kind)"""
+
 ORACLES = {
+    "p3_found": f"""WITH {_VECTORS}, l AS (SELECT kind, a, list_sort(list(b)) AS l FROM s WHERE s >= 0.6 GROUP BY 1, 2), g AS (SELECT *, count(*) OVER (PARTITION BY kind, l) AS n FROM l)
+SELECT l[1] AS cluster_id, a AS feat_id FROM g WHERE n = len(l) AND n > 2""",
+    "p4_found": f"""WITH {_VECTORS}, r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s, 12) DESC, b) AS r FROM s WHERE a <> b) SELECT DISTINCT least(a, b) AS feat_a, greatest(a, b) AS feat_b FROM r WHERE r <= 5 AND s >= 0.6""",
+    "p4_nearest": f"""WITH {_VECTORS}, r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s, 12) DESC, b) AS r FROM s WHERE a <> b AND a % 100 = 0) SELECT a AS feat_id, r AS rank, b AS neighbour, round(s, 6) AS similarity FROM r WHERE r <= 10""",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p8_found": r"""WITH
 dw AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL),
