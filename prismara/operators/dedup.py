@@ -28,6 +28,8 @@ from prismara.session import materialize, sized
 BLOCK, PIVOTS = 1000, 64
 #: Undecided links are written again after so many rounds; between, they are told by the rows lost so far.
 REWRITE = 3
+#: Links that one task takes.
+FINISH = 200_000
 
 
 def _unit(v) -> np.ndarray:
@@ -120,25 +122,39 @@ def similar_pairs(rows: DataFrame, key: str, vec: str, threshold: float) -> Data
     return products(_blocks(rows, key, vec), emit, "a long, b long, score double", threshold).where("a <> b")
 
 
-def keep_first(rows: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
+def _finish(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows that a pass in order removes, of all links in one task."""
+    parts = list(batches)
+    if parts:
+        links = pd.concat(parts).sort_values("id")
+        removed: set[int] = set()
+        for row, before in links.groupby("id", sort=True)["before"]:
+            if any(b not in removed for b in before.tolist()):
+                removed.add(int(row))
+        yield pd.DataFrame({"id": sorted(removed)}, dtype="int64")
+
+
+def keep_first(rows: DataFrame, key: str, pairs: DataFrame, finish: int = FINISH) -> DataFrame:
     """Rows that a pass in order of ``key`` keeps: those not similar to any row kept before.
 
     A fixpoint: a row is kept once all similar rows before it are removed, and removed
     once one of them is kept. Every round removes at least one row or ends, and is one
-    job over the undecided pairs; chains of undecided rows bound the rounds.
+    job over the undecided pairs. At most ``finish`` pairs that are left are
+    decided in one task, with the same result and without the rounds.
     """
     undecided = materialize(pairs.select(F.col("a").alias("before"), F.col("b").alias("id")).distinct(), "links")
     removed: list[DataFrame] = []
-    while True:
-        waiting = undecided.select("id").distinct()
-        sure = undecided.join(waiting.withColumnRenamed("id", "before"), "before", "left_anti").select("id").distinct()
-        lost, some = sized(sure, f"lost{len(removed)}")
-        if not some:
-            break
-        removed.append(lost)
-        undecided = undecided.join(lost, "id", "left_anti").join(lost.withColumnRenamed("id", "before"), "before", "left_anti").select("before", "id")
-        if len(removed) % REWRITE == 0:
-            undecided = materialize(undecided, f"undecided{len(removed)}")
+    left = undecided.count()
+    while left > finish:
+        for _ in range(REWRITE):
+            waiting = undecided.select(F.col("id").alias("before")).distinct()
+            lost, _n = sized(undecided.join(waiting, "before", "left_anti").select("id").distinct(), f"lost{len(removed)}")
+            removed.append(lost)
+            undecided = undecided.join(lost, "id", "left_anti").join(lost.withColumnRenamed("id", "before"), "before", "left_anti").select("before", "id")
+        undecided = materialize(undecided, f"undecided{len(removed)}")
+        left = undecided.count()
+    if left:
+        removed.append(materialize(undecided.coalesce(1).mapInPandas(_finish, "id long"), "removed"))
     if not removed:
         return rows
     return rows.join(functools.reduce(DataFrame.unionByName, removed).select(F.col("id").alias(key)), key, "left_anti")

@@ -400,6 +400,11 @@ _LOSS = f"""l AS (SELECT p.vec_id, {_unit('p.e')} AS u, {_unit('t.e')} AS w, p.e
 lo AS (SELECT vec_id, 0.7 * (1 - list_inner_product(u, w)) + 0.3 * (list_inner_product(u, u) + list_inner_product(w, w) - 2 * list_inner_product(u, w)) / len(e) + 0.001 * list_inner_product(e, e) / len(e) AS loss FROM l)"""
 _GROUPS = " UNION ALL ".join(f"SELECT image_id, {i} AS pos, " + (f"greatest(coalesce(max(score) FILTER (tag IN ({_q(t)})), 0), 0)" if t else f"greatest(0, 1 - greatest(coalesce(max(score) FILTER (tag IN ({_q(TAG_GROUPS['nude'])})), 0), 0))") + " AS x FROM sc GROUP BY image_id" for i, t in enumerate(TAG_GROUPS.values()))
 
+_SAMPLE = "pl AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY image_id) - 1 AS px, count(*) OVER (PARTITION BY cluster_id) AS n FROM mem), sm AS (SELECT cluster_id, image_id FROM pl WHERE px % greatest(1, n // 10) = 0 AND px // greatest(1, n // 10) < 10), r AS (SELECT image_id, tag, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, tag_idx, tag) AS r FROM sc WHERE score IS NOT NULL), t AS (SELECT image_id, list(DISTINCT tag) AS tags FROM r WHERE r <= 30 GROUP BY 1), s AS (SELECT cluster_id, image_id, coalesce(tags, []) AS tags FROM sm LEFT JOIN t USING (image_id)), p AS (SELECT a.cluster_id, len(list_intersect(a.tags, b.tags)) AS i, len(list_distinct(list_concat(a.tags, b.tags))) AS u FROM s a JOIN s b ON a.cluster_id = b.cluster_id AND a.image_id < b.image_id), o AS (SELECT cluster_id, avg(i / u) AS overlap FROM p WHERE u > 0 GROUP BY 1)"
+_FULL_TFIDF = f"""{_TFIDF}, tf AS (SELECT cluster_id, tag, any_value(x.tag_idx) AS tag_idx, any_value(x.category) AS category, any_value(avg_score) AS avg_score, any_value(avg_score * ln(1 + (SELECT count(DISTINCT cluster_id) FROM mem) / df)) AS tfidf FROM av JOIN df USING (tag) JOIN (SELECT tag, min(tag_idx) AS tag_idx, min(category) AS category FROM sc GROUP BY tag) x USING (tag) GROUP BY 1, 2)"""
+#: Tags as titles.
+_SPOKEN = f"sp AS (SELECT tag, {_title('n')} AS clean FROM (SELECT DISTINCT tag, replace(tag, '_', ' ') AS n FROM sc))"
+
 ORACLES = {
     "l2_normalize": f"WITH {_E} SELECT vec_id, round(sqrt(list_inner_product(e, e)), 6) AS length, round(({_unit('e')})[1], 6) AS first, round(({_unit('e')})[-1], 6) AS last FROM e",
     "cosine_topk": f"WITH {_E}, s AS (SELECT it.vec_id, {_cos('it.e', 'q.e')} AS score FROM it, e q WHERE q.vec_id = 0 ORDER BY score DESC, it.vec_id LIMIT 20), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM s) SELECT rank, vec_id, round(score, 6) AS score, printf('%03d_%.2f.png', rank, score) AS name FROM r",
@@ -436,6 +441,32 @@ SELECT doc_id, pos, CASE WHEN name LIKE '-%' THEN 'negative' ELSE 'positive' END
     "cluster_tfidf": f"WITH {_SC}, {_MEM}, {_TFIDF} SELECT cluster_id, tag, df, round(avg_score, 9) AS avg_score, round(avg_score * ln(1 + (SELECT count(DISTINCT cluster_id) FROM mem) / df), 9) AS tfidf FROM av JOIN df USING (tag)",
     "fallback_names": f"WITH {_SC}, w AS (SELECT image_id, tag, row_number() OVER (PARTITION BY image_id ORDER BY CASE WHEN tag IN ({_q(GENERIC_TAGS)}) THEN score * 0.1 ELSE score END DESC, tag_idx, tag) AS r FROM sc WHERE category <> 9 AND score > 0.35), t AS (SELECT image_id, string_agg(replace(tag, '_', ' '), ' ' ORDER BY r) AS s FROM w WHERE r <= 2 GROUP BY 1), n AS (SELECT image_id, {_title('s')} AS s FROM t) SELECT md.image_id, CASE WHEN s IS NULL THEN 'Other' ELSE substr({_safe('s')}, 1, 40) END AS name FROM md LEFT JOIN n USING (image_id)",
     "tag_coherence": f"WITH {_SC}, {_MEM}, pl AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY image_id) - 1 AS px, count(*) OVER (PARTITION BY cluster_id) AS n FROM mem), sm AS (SELECT cluster_id, image_id FROM pl WHERE px % greatest(1, n // 10) = 0 AND px // greatest(1, n // 10) < 10), r AS (SELECT image_id, tag, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, tag_idx, tag) AS r FROM sc WHERE score IS NOT NULL), t AS (SELECT image_id, list(DISTINCT tag) AS tags FROM r WHERE r <= 30 GROUP BY 1), s AS (SELECT cluster_id, image_id, coalesce(tags, []) AS tags FROM sm LEFT JOIN t USING (image_id)), p AS (SELECT a.cluster_id, len(list_intersect(a.tags, b.tags)) AS i, len(list_distinct(list_concat(a.tags, b.tags))) AS u FROM s a JOIN s b ON a.cluster_id = b.cluster_id AND a.image_id < b.image_id), o AS (SELECT cluster_id, avg(i / u) AS overlap FROM p WHERE u > 0 GROUP BY 1) SELECT cluster_id, round(coalesce(overlap, 1.0), 6) AS overlap FROM (SELECT DISTINCT cluster_id FROM mem) LEFT JOIN o USING (cluster_id)",
+    "cluster_names": f"""WITH {_SC}, {_MEM}, {_FULL_TFIDF}, {_SPOKEN},
+ch AS (SELECT cluster_id, tag, min({{'o': image_id, 't': tag_idx}}) AS seen FROM mem JOIN sc USING (image_id) WHERE category = 4 AND score > 0.15 AND tag NOT IN ({_q(NAMELESS_TAGS)}) GROUP BY 1, 2),
+cr AS (SELECT cluster_id, clean, row_number() OVER (PARTITION BY cluster_id ORDER BY seen, tag) AS r FROM ch JOIN sp USING (tag)),
+tr AS (SELECT cluster_id, clean, row_number() OVER (PARTITION BY cluster_id ORDER BY tfidf DESC, tag_idx, tag) AS r FROM tf JOIN sp USING (tag) WHERE category <> 4),
+al AS (SELECT cluster_id, clean, min(o) AS o FROM (SELECT cluster_id, clean, r AS o FROM cr WHERE r <= 2 UNION ALL SELECT cluster_id, clean, 10 + r FROM tr) GROUP BY 1, 2),
+pt AS (SELECT cluster_id, string_agg(clean, ' ' ORDER BY o) AS s FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY o) AS q FROM al) WHERE q <= 4 GROUP BY 1),
+bs AS (SELECT cluster_id, CASE WHEN s IS NULL THEN printf('group_%03d', cluster_id + 1) ELSE substr({_safe('s')}, 1, 60) END AS base FROM (SELECT DISTINCT cluster_id FROM mem) LEFT JOIN pt USING (cluster_id)),
+sh AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY cluster_id) AS k, count(*) OVER (PARTITION BY base) AS same FROM bs),
+ow AS (SELECT cluster_id, base, tag, tag_idx, tfidf, clean FROM sh JOIN tf USING (cluster_id) JOIN sp USING (tag) WHERE same > 1 AND NOT contains(base, clean)),
+ap AS (SELECT * FROM ow WHERE NOT EXISTS (SELECT 1 FROM sh o JOIN tf x USING (cluster_id) WHERE o.base = ow.base AND o.cluster_id <> ow.cluster_id AND x.tag = ow.tag AND x.avg_score > ow.tfidf * 0.5)),
+ex AS (SELECT cluster_id, clean AS extra FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY tfidf DESC, tag_idx, tag) AS r FROM ap) WHERE r = 1),
+nm AS (SELECT cluster_id, base, k, same, extra, base || ' ' || extra AS longer FROM sh LEFT JOIN ex USING (cluster_id))
+SELECT cluster_id, CASE WHEN same = 1 THEN base WHEN extra IS NOT NULL THEN substr({_safe('longer')}, 1, 60) ELSE base || '_' || k END AS name FROM nm""",
+    "cluster_refinement": f"""WITH {_SC}, {_MEM}, {_SAMPLE}, loose AS (SELECT cluster_id FROM o JOIN (SELECT cluster_id, count(*) AS n FROM mem GROUP BY 1) USING (cluster_id) WHERE overlap < 0.25 AND n > 3),
+sc2 AS (SELECT m.cluster_id, m.image_id, s.image_id AS anchor, CASE WHEN m.image_id = s.image_id AND len(s.tags) > 0 THEN 2.0 ELSE coalesce(len(list_intersect(coalesce(t.tags, []), s.tags)) / nullif(len(list_distinct(list_concat(coalesce(t.tags, []), s.tags))), 0), 0) END AS v FROM mem m JOIN loose USING (cluster_id) JOIN s ON s.cluster_id = m.cluster_id LEFT JOIN t ON t.image_id = m.image_id)
+SELECT cluster_id, anchor AS part, image_id FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id, image_id ORDER BY v DESC, anchor) AS q FROM sc2) WHERE q = 1
+UNION ALL SELECT cluster_id, 0, image_id FROM mem WHERE cluster_id NOT IN (SELECT cluster_id FROM loose)""",
+    "placement_plan": rf"""WITH {_LISTING}, a AS (SELECT path, {_safe("concat_ws('_', 'by', substr(folder, 1, 4))")} AS dir, image_id AS ord, regexp_extract(path, '(?s)([^/]*)$', 1) AS name, {_EXT} AS ext FROM ls),
+b AS (SELECT *, substr(name, 1, length(name) - length(ext)) AS stem, row_number() OVER (PARTITION BY dir, name ORDER BY ord) - 1 AS k FROM a),
+u AS (SELECT dir, regexp_extract(name, '(?s)^(.*)_([1-9][0-9]*)(\.[^.]*)?$', 1) AS stem, ext, list(DISTINCT TRY_CAST(regexp_extract(name, '(?s)_([1-9][0-9]*)(\.[^.]*)?$', 1) AS INT)) AS used FROM a WHERE regexp_matches(name, '(?s)_([1-9][0-9]*)(\.[^.]*)?$') GROUP BY ALL),
+f AS (SELECT path, b.dir, CASE WHEN k = 0 THEN name ELSE b.stem || '_' || list_filter(range(1, (k + 1 + len(coalesce(used, [])))::BIGINT), lambda x: NOT list_contains(coalesce(used, []), x::INT))[k] || b.ext END AS final FROM b LEFT JOIN u ON u.dir = b.dir AND u.stem = b.stem AND u.ext = b.ext)
+SELECT path, concat_ws('/', nullif(dir, ''), final) AS target FROM f""",
+    "sort_semantic": f"""WITH {_E}, {_margins(POSITIVE, 'p')}, {_POS.format(c=MIN_CONF, t='p')}, {_margins(NEGATIVE[:1], 'g')},
+d AS (SELECT it.vec_id, CASE WHEN it.e[1] >= it.e[2] AND it.e[3] >= it.e[4] THEN 'ai' ELSE 'hum' END AS vote, CASE WHEN list_inner_product(it.e, x.e) >= list_inner_product(it.e, y.e) THEN 'animals' ELSE 'things' END AS description FROM it, e x, e y WHERE x.vec_id = 1 AND y.vec_id = 3),
+j AS (SELECT vec_id, n > 0 AND g.m <= 0 AS ok, vote, label, description FROM ps JOIN g USING (vec_id) JOIN d USING (vec_id))
+SELECT vec_id AS image_id, CASE WHEN ok THEN concat_ws('/', vote, label, description) ELSE '' END AS folder, CASE WHEN ok THEN 'saved' ELSE 'filtered' END AS status FROM j""",
     "folder_paths": "SELECT doc_id, concat_ws('/', nullif(source, ''), nullif(lang, '')) AS folder FROM documents",
     "image_metadata": f"WITH {_SC}, {_RANKED}, x AS (SELECT image_id, count(*) AS n, coalesce(string_agg(tag, ',' ORDER BY r) FILTER ({_MATURE}), '') AS mature, coalesce(string_agg(tag, ',' ORDER BY r) FILTER (category = 4 AND NOT {_MATURE}), '') AS character, coalesce(string_agg(tag, ',' ORDER BY r) FILTER (category <> 4 AND NOT {_MATURE}), '') AS general FROM rk WHERE r <= 30 GROUP BY 1), rt AS (SELECT image_id, coalesce(max(score) FILTER (tag = 'explicit'), 0.0) AS explicit FROM sc WHERE score IS NOT NULL GROUP BY 1) SELECT image_id, round(explicit, 3) AS explicit, coalesce(general, '') AS general, coalesce(character, '') AS character, coalesce(mature, '') AS mature, coalesce(n, 0)::INT AS n_scores FROM rt LEFT JOIN x USING (image_id)",
     "folder_metadata": f"""WITH {_SC}, {_ASSIGNED}, {_RANKED}, f AS (SELECT image_id, coalesce(nullif(folder, ''), 'root') AS folder, path, regexp_extract(path, '(?s)([^/]*)$', 1) AS base FROM ass),
@@ -447,6 +478,7 @@ SELECT folder, total AS total_images, total AS sampled, bool_or(coalesce(m, fals
     "run_counters": "SELECT count(*) AS total, count(*) FILTER (label > 3 OR label IS NULL) AS saved, count(*) FILTER (label IN (1, 2)) AS filtered, count(*) FILTER (label = 3) AS duplicates, count(*) FILTER (label = 0) AS failed FROM embeddings",
     "descriptions": "SELECT DISTINCT text AS description FROM documents WHERE text IS NOT NULL",
     "train_val_split": "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY substr(md5('42#' || doc_id), 1, 16), doc_id) <= greatest(1, floor(0.15 * (SELECT count(*) FROM documents))) THEN 'val' ELSE 'train' END AS split FROM documents",
+    "fingerprint": "WITH d AS (SELECT DISTINCT image_path, text FROM documents), h AS (SELECT md5(to_json({'image_path': image_path, 'text': text})::VARCHAR) AS m FROM d) SELECT md5(count(*) || '|' || coalesce(sum(('0x' || m[1:8])::BIGINT), 0) || '|' || coalesce(sum(('0x' || m[9:16])::BIGINT), 0) || '|' || coalesce(sum(('0x' || m[17:24])::BIGINT), 0) || '|' || coalesce(sum(('0x' || m[25:32])::BIGINT), 0)) AS fingerprint FROM h",
     "combined_loss": f"WITH {_E}, {_LOSS} SELECT vec_id, round(loss, 6) AS loss FROM lo",
     "batch_means": f"WITH {_E}, {_LOSS} SELECT round(avg(m), 6) AS loss FROM (SELECT avg(loss) AS m FROM lo GROUP BY vec_id // 32)",
     "one_cycle": "SELECT s AS step, round(CASE WHEN s <= 99 THEN 3e-4 + (3e-5 - 3e-4) / 2 * (1 + cos(pi() * s / 99)) ELSE 3e-7 + (3e-4 - 3e-7) / 2 * (1 + cos(pi() * (s - 99) / 900)) END, 12) AS lr FROM range(1000) t(s)",

@@ -39,6 +39,8 @@ def test_keep_first(spark, threshold):
     x[40:44] = x[3]
     got = sorted(r["id"] for r in dedup.dedup(frame(spark, x), "id", "vec", threshold).collect())
     assert got == greedy(x, threshold)
+    pairs = dedup.similar_pairs(frame(spark, x), "id", "vec", threshold)
+    assert sorted(r["id"] for r in dedup.keep_first(frame(spark, x), "id", pairs, finish=0).collect()) == got
 
 
 def test_dedup_edges(spark):
