@@ -41,12 +41,13 @@ ORACLES = {
     "p2_found": r"""WITH b AS (SELECT DISTINCT feed, file_id, written_at, body::JSON AS v FROM training_files WHERE body IS NOT NULL AND json_valid(body)),
 o AS (SELECT feed, file_id, written_at, v FROM b WHERE json_type(v) = 'OBJECT' AND len(json_keys(v)) > 0),
 n AS (SELECT *, list_bool_and(list_transform(map_values(v::MAP(VARCHAR, JSON)), lambda x: json_type(x) = 'OBJECT')) AS keyed FROM o),
-r AS (SELECT feed, file_id, written_at, x FROM (SELECT feed, file_id, written_at, unnest(from_json(v, '["JSON"]')) AS x FROM b WHERE json_type(v) = 'ARRAY') WHERE json_type(x) = 'OBJECT'
- UNION ALL SELECT feed, file_id, written_at, unnest(map_values(v::MAP(VARCHAR, JSON))) FROM n WHERE keyed
- UNION ALL SELECT feed, file_id, written_at, v FROM n WHERE NOT keyed),
-u AS (SELECT feed, file_id, written_at, unnest(map_entries(x::MAP(VARCHAR, JSON))) AS e FROM r),
-k AS (SELECT feed, file_id, e.key AS name, CASE json_type(e.value) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL ELSE 'number' END AS t FROM u),
-y AS (SELECT feed, file_id, name, max(t) AS t FROM k GROUP BY ALL),
+li AS (SELECT feed, file_id, written_at, from_json(v, '["JSON"]') AS l FROM b WHERE json_type(v) = 'ARRAY'
+ UNION ALL SELECT feed, file_id, written_at, CASE WHEN keyed THEN map_values(v::MAP(VARCHAR, JSON)) ELSE [v] END FROM n),
+r AS (SELECT feed, file_id, written_at, x, i FROM (SELECT feed, file_id, written_at, unnest(l) AS x, unnest(range(len(l))) AS i FROM li) WHERE json_type(x) = 'OBJECT'),
+u AS (SELECT feed, file_id, i, unnest(map_entries(x::MAP(VARCHAR, JSON))) AS e FROM r),
+k AS (SELECT feed, file_id, i, e.key AS name, CASE json_type(e.value) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL ELSE 'number' END AS t FROM u),
+z AS (SELECT feed, file_id, name, t, row_number() OVER (PARTITION BY feed, file_id, name ORDER BY (t IS NULL)::INT, count(*) DESC, min(i)) AS q FROM k GROUP BY feed, file_id, name, t),
+y AS (SELECT feed, file_id, name, t FROM z WHERE q = 1),
 fl AS (SELECT feed, file_id, lag(file_id) OVER (PARTITION BY feed ORDER BY written_at, file_id) AS before FROM (SELECT DISTINCT feed, file_id, written_at FROM r)),
 c AS (SELECT feed, file_id, name, t, CASE WHEN replace(lower(name), '_', '') IN ('imagepath', 'image', 'filepath', 'path', 'img', 'filename', 'source') THEN 'image' WHEN replace(lower(name), '_', '') IN ('description', 'caption', 'text', 'label', 'annotation') THEN 'text' END AS class FROM y),
 old AS (SELECT fl.feed, fl.file_id, c.name, c.t, c.class FROM fl JOIN c ON c.file_id = fl.before AND c.feed IS NOT DISTINCT FROM fl.feed),
