@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from prismara.llm import garbled, leakage, neighbours, termfreq, tokens
+from prismara.llm import apart, garbled, leakage, neighbours, termfreq, tokens
 from prismara.llm import clusters as cl
 from prismara.llm.cooccur import PairTable
 from prismara.llm.tags import current_images, normal_tag, normal_tags
@@ -338,6 +338,40 @@ def test_large_page_keeps_small_groups(spark, monkeypatch):
     assert {90, 70, 5, 3} <= {r["size"] for r in found}
 
 
+def test_group_of_two_modes():
+    """All members are alike, but the mixture tears them: the group must not be lost."""
+    rng = np.random.default_rng(0)
+    a, b = (v / np.linalg.norm(v) for v in rng.standard_normal((2, 384)))
+    across = b - (a @ b) * a
+    b = 0.75 * a + 0.66 * across / np.linalg.norm(across)
+    noise = [0.2 * z / np.linalg.norm(z, axis=1, keepdims=True) for z in rng.standard_normal((2, 40, 384))]
+    x = np.concatenate([a + noise[0], b + noise[1], rng.standard_normal((30, 384))]).astype(np.float32)
+    u = unit(x).astype(np.float32)
+    parts, grouped = cl.leaf_components(u, cl.alike_matrix(u, x, 0.6), np.ones(len(x), int))
+    assert [sorted(p.tolist()) for p, g in zip(parts, grouped) if g] == [list(range(80))]
+    assert sorted(i for p in parts for i in p.tolist()) == list(range(len(x)))
+
+
+def test_no_alike_pair_crosses_a_page(spark, monkeypatch):
+    """Whatever the places: rows are placed by id, seven each, and groups lie too near each other for the bound."""
+    monkeypatch.setattr(neighbours, "LEAF", 10_000)
+    monkeypatch.setattr(apart, "PLACE", 7)
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal(384) / np.sqrt(384)
+    centres = [0.66 * base + 0.75 * z / np.linalg.norm(z) for z in rng.standard_normal((3, 384))]
+    x = np.concatenate([*(c + 0.35 * z / np.linalg.norm(z, axis=1, keepdims=True) for c, z in zip(centres, rng.standard_normal((3, 15, 384)))), planted([4, 3], 20, seed=13)])
+    x = x[rng.permutation(len(x))].astype(np.float32)
+    want = true_groups(x)
+    assert sorted(Counter(c for c, _ in want).values()) == [3, 4, 15, 15, 15]
+    rows = usable_vectors(cache(spark, x)).withColumn("copies", F.lit(1).cast("long"))
+    pages, some = apart.closed_pages(rows, 0.6, 10, 12)
+    got = {r["feat_id"]: (r["page"], r["large"]) for r in pages.collect()}
+    assert some and sorted(got) == list(range(1, len(x) + 1))
+    assert all(got[c][0] == got[i][0] for c, i in want)
+    assert {c for c, _ in want if got[c][1]} == {c for c, n in Counter(c for c, _ in want).items() if n == 15}
+    assert all(len({c for c, i in want if got[i][0] == p}) == 1 for p, large in got.values() if large)
+
+
 def test_copies_that_are_no_group(spark):
     """A row alike to them is alike to another one."""
     a, b = (v / np.linalg.norm(v) for v in np.random.default_rng(3).standard_normal((2, 384)))
