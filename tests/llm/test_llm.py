@@ -405,6 +405,45 @@ def test_margin_where_alike_rows_are_rare(spark, monkeypatch):
     assert {tuple(r) for r in neighbours.alike_pairs(v).collect()} == want
 
 
+def test_visits_in_order_of_priority():
+    x = unit(planted([30, 20, 9, 4, 3], 200, seed=21)).astype(np.float32)
+    tree = neighbours.build_tree(x, len(x), leaf=20)
+    tree.margin, tree.most = 0.1, 3
+    gaps = tree.gaps(x)
+    want = {(i, p) for i, g in enumerate(gaps) for p in np.lexsort((np.arange(tree.pages), g))[:3].tolist() if g[p] <= 0.1}
+    q, page = tree.visit(x)
+    assert len(q) == len(want) > len(x) and set(zip(q.tolist(), page.tolist())) == want
+
+
+def test_vectors_sent_are_squeezed(spark):
+    """Two bytes a number at most where the lower halves are zero; any others come back whole as well."""
+    x = planted([9, 20], 200, seed=22)
+    half = (x.view(np.uint32) & 0xFFFF0000).view(np.float32)
+    for y in (x, half):
+        assert (neighbours.unsqueezed(neighbours.squeeze(y), *y.shape) == y).all()
+    rows = usable_vectors(cache(spark, half)).select("kind", "feat_id", "vec", F.lit(True).alias("asks"))
+    trees = neighbours.fit_trees(rows, {"dinov2ms_True": len(x)})
+    packs = neighbours.descend(rows, trees, 5).collect()
+    assert sum(len(p["ids"]) // 8 for p in packs) == len(x)
+    assert sum(len(p["vecs"]) for p in packs) < 2.1 * half.size
+
+
+def test_more_ids_than_are_sent(spark, monkeypatch):
+    """Repeated keys and copies beyond the bound: the rows are joined once and written, not at every use."""
+    from prismara.llm import vectors
+
+    x = planted([5, 4], 12, seed=23)
+    x[6] = x[2] = x[1]
+    t = cache(spark, x)
+    t = t.unionByName(t.where("feat_id < 9").withColumn("feat_id", F.col("feat_id") + 100))
+    monkeypatch.setattr(vectors, "IDS", 2)
+    v = usable_vectors(t)
+    rows, spare = vectors.distinct_vectors(v)
+    assert all("Join" not in df._jdf.queryExecution().optimizedPlan().toString() for df in (v, rows))
+    assert rows.count() == len(x) - 2 and spare.count() == 2
+    assert {tuple(r) for r in neighbours.alike_pairs(v).collect()} == true_pairs(x)
+
+
 def test_ties_go_to_the_smaller_id(spark):
     x = np.repeat(planted([], 1), 9, axis=0)
     got = {(r["q"], r["rank"]): r["b"] for r in neighbours.nearest(usable_vectors(cache(spark, x)), 3).collect()}
